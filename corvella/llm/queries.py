@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvella.llm import near_duplicates, splitting, vector_join
+from corvella.llm import language, near_duplicates, splitting, vector_join
 from corvella.runtime import table
 
 
@@ -71,9 +71,31 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_pieces(spark, sf_dir).where("piece_no = 2").select("chunk_id")
 
 
+def p3_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of every chunk and request text with its language and confidence; rec_kind chunk or search."""
+    model = language.fit(table(spark, sf_dir, "lang_samples"))
+    # the texts go through the model where they lie; only its short answers are joined and shuffled afterwards
+    chunks = table(spark, sf_dir, "chunks").select(F.lit("chunk").alias("rec_kind"), F.col("chunk_id").cast("long").alias("rec_id"), F.col("chunk_asset_id").alias("asset_id"), F.col("chunk_text").alias("text"), F.lit(None).cast("string").alias("label"))
+    requests = table(spark, sf_dir, "search_requests").select(F.lit("search").alias("rec_kind"), F.col("request_id").alias("rec_id"), F.lit(None).cast("int").alias("asset_id"), "text", F.col("primary_lang").alias("label"))
+    return language.language_stretches(chunks.unionByName(requests), "text", ["rec_kind", "rec_id", "asset_id", "label"], model)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = p3_stretches(spark, sf_dir).groupBy("rec_kind", "rec_id", "asset_id", "label").agg(F.collect_set("lang").alias("langs"))
+    assets = table(spark, sf_dir, "assets").where(F.col("asset_type").isin("file", "url")).select("asset_id", F.get_json_object("asset_config", "$.lang").alias("recorded")).groupBy("asset_id").agg(F.first("recorded").alias("recorded"))
+    searches = texts.where("rec_kind = 'search'").withColumn("recorded", F.col("label"))
+    chunks = texts.where("rec_kind = 'chunk'").join(assets, "asset_id")
+    both = searches.select("rec_kind", "rec_id", "langs", "recorded").unionByName(chunks.select("rec_kind", "rec_id", "langs", "recorded"))
+    told = language.label_language(F.col("recorded"))
+    cases = both.where((F.size("langs") > 1) | told.isNull() | (told != F.col("langs")[0]))
+    return cases.select("rec_kind", "rec_id", F.explode("langs").alias("lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_groups": p2_groups,
+    "p3_found": p3_found,
+    "p3_stretches": p3_stretches,
     "p4_found": p4_found,
     "p4_neighbours": p4_neighbours,
     "p5_found": p5_found,

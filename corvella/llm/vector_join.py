@@ -30,6 +30,8 @@ VISITS = 8
 PIVOTS_HELD = 4096
 #: Rows of a group that one task assigns to cells at a time.
 ASSIGNED = 16_384
+#: Large groups whose names are broadcast at most.
+MARKED_GROUPS = 100_000
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
@@ -103,28 +105,50 @@ def neighbours(df: DataFrame, key: str, group: str, vector: str, width: int, k:
 
 
 def _class_neighbours(classes: DataFrame, key_type: str, group_type: str, width: int, k: int, threshold: float, block: int, visits: int) -> DataFrame:
-    sizes = classes.groupBy("grp").agg(F.count("*").alias("n"))
-    large = sizes.where(F.col("n") > block)
-    sized = classes.select("grp", "cls", "v").join(sizes, "grp")
-    small = sized.where(F.col("n") <= block).select("grp", F.lit(0).alias("cell"), F.lit(0).alias("part"), "cls", "v")
-    tiles = _tile_rows(sized.where(F.col("n") > block), large, key_type, group_type, width, block, visits)
-
-    out = T.StructType.fromDDL(f"grp {group_type}, cls {key_type}, other {key_type}")
-    out_arrow = to_arrow_schema(out)
+    """grp, cls, other, similarity: each class's best k other classes."""
+    large = materialise(classes.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > block), "groups")
+    # at most one group in ``block`` rows is large; beyond a fixed number of them the join shuffles instead
+    marks = F.broadcast(large) if large.count() <= MARKED_GROUPS else large
+    small = classes.select("grp", "cls", "v").join(marks.select("grp"), "grp", "left_anti")
+    out = T.StructType.fromDDL(f"grp {group_type}, cls {key_type}, other {key_type}, similarity double")
+    arrow = to_arrow_schema(out)
 
     def within(t: pa.Table) -> pa.Table:
-        unit = _unit(_matrix(t["v"], np.float64))
+        # the group is whole here: the survivors' cosines and each row's best k are found on the spot
+        t = t.sort_by("cls")
+        unit, keys = _unit(_matrix(t["v"], np.float64)), t["cls"].to_numpy()
         codes, scale, error = quantise(unit)
-        keys = t["cls"].to_numpy()
-        rows, cols = [], []
+        rows, cols, cosines = [], [], []
         for at in range(0, len(unit), 1024):
-            s = slice(at, min(at + 1024, len(unit)))
-            est, slack = tile_bounds(codes[s], scale[s], error[s], codes, scale, error)
-            own = (np.arange(s.stop - s.start), np.arange(s.start, s.stop))
-            r, c = tile_survivors(est, slack, k, threshold, own)
-            rows.append(r + at), cols.append(c)
-        r, c = np.concatenate(rows), np.concatenate(cols)
-        return _pairs(t["grp"][0].as_py(), keys[r], keys[c], out_arrow)
+            upto = min(at + 1024, len(unit))
+            est, slack = tile_bounds(codes[at:upto], scale[at:upto], error[at:upto], codes, scale, error)
+            r, c = tile_survivors(est, slack, k, threshold, (np.arange(upto - at), np.arange(at, upto)))
+            r, c, cos = _best(unit, r + at, c, k, threshold)
+            rows.append(r), cols.append(c), cosines.append(cos)
+        r, c, cos = np.concatenate(rows), np.concatenate(cols), np.concatenate(cosines)
+        return pa.Table.from_arrays([pa.repeat(t["grp"][0], len(r)), pa.array(keys[r]), pa.array(keys[c]), pa.array(cos)], schema=arrow)
+
+    found = small.groupBy("grp").applyInArrow(within, out)
+    big = classes.select("grp", "cls", "v").join(marks, "grp")
+    return found.unionByName(_large_neighbours(big, key_type, group_type, width, k, threshold, block, visits))
+
+
+def _best(unit: np.ndarray, r: np.ndarray, c: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs' cosines in float64, cut to each row's best k at or above the threshold; columns must be in key order."""
+    cos = np.clip(np.einsum("ij,ij->i", unit[r], unit[c]), -1, 1)
+    keep = cos >= threshold
+    r, c, cos = r[keep], c[keep], cos[keep]
+    order = np.lexsort((c, -cos, r))
+    r, c, cos = r[order], c[order], cos[order]
+    first = np.concatenate([[True], r[1:] != r[:-1]]) if len(r) else np.empty(0, bool)
+    place = np.arange(len(r)) - np.maximum.accumulate(np.where(first, np.arange(len(r)), 0)) if len(r) else np.empty(0, int)
+    return r[place < k], c[place < k], cos[place < k]
+
+
+def _large_neighbours(rows: DataFrame, key_type: str, group_type: str, width: int, k: int, threshold: float, block: int, visits: int) -> DataFrame:
+    tiles = _tile_rows(rows, key_type, group_type, width, block, visits)
+    out = T.StructType.fromDDL(f"grp {group_type}, cls {key_type}, other {key_type}")
+    arrow = to_arrow_schema(out)
 
     def across(t: pa.Table) -> pa.Table:
         home = t["home"].to_numpy(zero_copy_only=False)
@@ -138,11 +162,11 @@ def _class_neighbours(classes: DataFrame, key_type: str, group_type: str, width:
             r, c = tile_survivors(est, slack, k, threshold, np.nonzero(keys[s][:, None] == keys[here][None, :]))
             rows.append(s[r]), cols.append(here[c])
         r, c = np.concatenate(rows), np.concatenate(cols)
-        return _pairs(t["grp"][0].as_py(), keys[r], keys[c], out_arrow)
+        return pa.Table.from_arrays([pa.repeat(t["grp"][0], len(r)), pa.array(keys[r]), pa.array(keys[c])], schema=arrow)
 
-    found = small.groupBy("grp", "cell", "part").applyInArrow(within, out).unionByName(tiles.groupBy("grp", "cell", "part").applyInArrow(across, out))
-    vectors = classes.select("grp", F.col("cls"), "v")
-    pairs = found.distinct().join(vectors, ["grp", "cls"]).join(vectors.select("grp", F.col("cls").alias("other"), F.col("v").alias("w")), ["grp", "other"])
+    pairs = tiles.groupBy("grp", "cell", "part").applyInArrow(across, out).distinct()
+    vectors = rows.select("grp", "cls", "v")
+    pairs = pairs.join(vectors, ["grp", "cls"]).join(vectors.select("grp", F.col("cls").alias("other"), F.col("v").alias("w")), ["grp", "other"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,11 +186,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _pairs(grp: object, a: np.ndarray, b: np.ndarray, s: pa.Schema) -> pa.Table:
-    return pa.Table.from_arrays([pa.array([grp] * len(a), s.field(0).type), pa.array(a, s.field(1).type), pa.array(b, s.field(2).type)], schema=s)
-
-
-def _tile_rows(rows: DataFrame, large: DataFrame, key_type: str, group_type: str, width: int, block: int, visits: int) -> DataFrame:
+def _tile_rows(rows: DataFrame, key_type: str, group_type: str, width: int, block: int, visits: int) -> DataFrame:
     """Rows of the tiles of large groups: quantised, at home in one block and visiting others.
 
     A group's pivots are the vectors with the smallest hashes, one per ``block`` rows and at most PIVOTS_HELD.

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 _local: dict[str, str] = {}
@@ -42,6 +43,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Words of 64 bits in a bitmap of keys: two megabytes, whatever the number of keys.
+BITMAP_WORDS = 1 << 18
+
+
+def marked(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be among ``keys`` (its only column, of the same name): all that are, and some that are not.
+
+    The keys become a bitmap of fixed size, the only thing that is sent around.  Put before a join it keeps most rows without a partner out of the
+    shuffle; the join must follow, as rows that only share a bit pass.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(BITMAP_WORDS * 64))
+    slots = keys.select(F.floor(bit / 64).cast("int").alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bits")).groupBy("slot").agg(F.bit_or("bits").alias("bits"))
+    every = keys.sparkSession.range(BITMAP_WORDS).select(F.col("id").cast("int").alias("slot")).join(slots, "slot", "left")
+    bitmap = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))), lambda x: x["bits"]).alias("bitmap")).scalar()
+    # a filter, not a join: the optimiser would move a semi join that follows below another join
+    return df.where(F.call_function("shiftright", bitmap[F.floor(bit / 64).cast("int")], (bit % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables that ``materialise`` wrote for this session."""
     jvm = spark._jvm

@@ -19,18 +19,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvella.llm.words import WORD, WordCodes, mix, shingle_codes
-from corvella.runtime import materialise
+from corvella.runtime import marked, materialise
 
-BUCKETS, ROUNDS, PER_BAND = 32, 5, 4
+BUCKETS, ROUNDS, PER_BAND = 32, 4, 4
 REGISTERS = BUCKETS * ROUNDS
 BANDS = REGISTERS // PER_BAND
 MANTISSA_BITS, ZERO_BITS = 10, 6
 _BUCKET_BITS = 5
-_SEEDS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
+_SEEDS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xA0761D6478BD642F]
 #: Up to this many pairs, the pairs between two classes of equal texts (or inside one) are written out one by one;
 #: beyond, copies are linked to their class's representative only, and groups() holds the membership.
 EXPANDED_PAIRS = 10_000
 _SLICE = 2_000
+#: Texts whose class a task remembers, to send a class's registers on once; beyond, it forgets and starts anew.
+_KNOWN_CLASSES = 1_000_000
 
 
 def registers(shingles: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
@@ -74,46 +76,55 @@ def registers(shingles: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray
     return out
 
 
-def _fold(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 of the registers, one scrambled bit each, as two signed 64-bit numbers."""
-    one = (mix(regs[:, :128].astype(np.uint64) + np.uint64(1)) & np.uint64(1)).astype(np.uint8)
-    packed = np.packbits(one, axis=1)
-    words = np.ascontiguousarray(packed).view(">i8").astype(np.int64)
-    return words[:, 0], words[:, 1]
+def _fold(regs: np.ndarray) -> np.ndarray:
+    """64 of the registers, one scrambled bit each, as a signed 64-bit number."""
+    one = (mix(regs[:, ::2].astype(np.uint64) + np.uint64(1)) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(one, axis=1).view(">i8").astype(np.int64)[:, 0]
 
 
-def sketch(df: DataFrame, key: str, text: str, width: int, least_words: int) -> DataFrame:
-    """key, same (equal for equal word sequences), n (distinct shingles, at most), f0, f1 (folded registers), bands (registers, four packed in each).
+def sketch(df: DataFrame, key: str, text: str, width: int, least_words: int, owner: str | None = None) -> DataFrame:
+    """key, owner, same (a number that equal word sequences share), n (shingles), fold, bands (registers, four packed in each).
 
-    Texts of fewer than ``least_words`` words, or fewer than ``width``, and null texts are left out.
+    Of a class of equal texts a task sends the registers once; the other rows have null bands.  Texts of fewer than
+    ``least_words`` words, or fewer than ``width``, and null texts are left out.
     """
     floor = max(least_words, width)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = WordCodes()
+        known: set[int] = set()
         for whole in batches:
             for at in range(0, len(whole), _SLICE):
                 pdf = whole.iloc[at : at + _SLICE]
-                words, keys, same, ends = [], [], [], [0]
-                for k, t in zip(pdf["key"], pdf["text"]):
+                words, keys, owners, same, ends, fresh = [], [], [], [], [0], []
+                for k, o, t in zip(pdf["key"], pdf["owner"], pdf["text"]):
                     w = WORD.findall(t.lower())
                     if len(w) >= floor:
-                        words += w
-                        ends.append(len(words))
                         keys.append(k)
-                        same.append(xxhash.xxh3_128_hexdigest(" ".join(w)))
+                        owners.append(o)
+                        h = xxhash.xxh3_64_intdigest(" ".join(w)) - (1 << 63)
+                        same.append(h)
+                        if h not in known:
+                            known.add(h)
+                            fresh.append(len(keys) - 1)
+                            words += w
+                            ends.append(len(words))
+                if len(known) > _KNOWN_CLASSES:
+                    known.clear()
                 if not keys:
                     continue
-                shingles, owner = shingle_codes(coder.codes(words), np.array(ends), width)
-                regs = registers(shingles, owner, len(keys))
-                f0, f1 = _fold(regs)
-                bands = np.ascontiguousarray(regs).view("<i8").reshape(len(keys), BANDS)
-                n = np.bincount(owner, minlength=len(keys))
-                yield pd.DataFrame({"key": keys, "same": same, "n": n.astype("int32"), "f0": f0, "f1": f1, "bands": list(bands)})
+                shingles, whose = shingle_codes(coder.codes(words), np.array(ends), width)
+                regs = registers(shingles, whose, len(fresh))
+                packed = np.ascontiguousarray(regs).view("<i8").reshape(len(fresh), BANDS)
+                n, fold, bands = np.zeros(len(keys), "int32"), np.zeros(len(keys), "int64"), np.full(len(keys), None, object)
+                n[fresh], fold[fresh] = np.bincount(whose, minlength=len(fresh)), _fold(regs)
+                for i, row in zip(fresh, packed):
+                    bands[i] = row
+                yield pd.DataFrame({"key": keys, "owner": owners, "same": same, "n": n, "fold": fold, "bands": bands})
 
-    kind = df.schema[key].dataType.simpleString()
-    source = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull() & (F.length("text") >= 2 * floor - 1))
-    return source.mapInPandas(run, f"key {kind}, same string, n int, f0 bigint, f1 bigint, bands array<bigint>")
+    kind, belongs = (df.schema[c].dataType.simpleString() for c in (key, owner or key))
+    source = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{owner or key}`").alias("owner"), F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull() & (F.length("text") >= 2 * floor - 1))
+    return source.mapInPandas(run, f"key {kind}, owner {belongs}, same bigint, n int, fold bigint, bands array<bigint>")
 
 
 def register_share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -128,22 +139,21 @@ def register_share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _fold_floor(threshold: float) -> int:
-    """Folded bits that a pair at the threshold shares, less five standard deviations."""
+    """Folded bits that a pair at the threshold shares, less four standard deviations."""
     p = (1 + threshold) / 2
-    return int(128 * p - 5 * (128 * p * (1 - p)) ** 0.5)
+    return int(64 * p - 4 * (64 * p * (1 - p)) ** 0.5)
 
 
-def _longest_ratio(threshold: float) -> Column:
-    # n counts repeated shingles too, hence the slack of a quarter
-    return F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold * 0.75)
-
-
-def candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of classes (same_a < same_b) that share a band and whose folded registers fit the threshold."""
-    rows = classes.select("same", "n", "f0", "f1", F.posexplode("bands").alias("band", "value"))
+def candidates(sketches: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of classes (same_a < same_b) that share a band and whose size and folded registers fit the threshold."""
+    rows = sketches.where("bands IS NOT NULL").select(F.posexplode("bands").alias("band", "value"), "same", "n", "fold").select(F.xxhash64("band", "value").alias("slot"), "same", "n", "fold")
+    # one exchange serves both sides of the join and the removal of a class's repeats from several tasks
+    rows = rows.repartition("slot").dropDuplicates(["slot", "same"])
     a, b = rows.alias("a"), rows.alias("b")
-    alike = F.lit(128) - F.bit_count(F.col("a.f0").bitwiseXOR(F.col("b.f0"))) - F.bit_count(F.col("a.f1").bitwiseXOR(F.col("b.f1")))
-    on = (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.same") < F.col("b.same")) & _longest_ratio(threshold) & (alike >= _fold_floor(threshold))
+    alike = F.lit(64) - F.bit_count(F.col("a.fold").bitwiseXOR(F.col("b.fold")))
+    # n counts repeated shingles too, hence the slack of a quarter
+    sized = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold * 0.75)
+    on = (F.col("a.slot") == F.col("b.slot")) & (F.col("a.same") < F.col("b.same")) & sized & (alike >= _fold_floor(threshold))
     return a.join(b, on).select(F.col("a.same").alias("same_a"), F.col("b.same").alias("same_b")).distinct()
 
 
@@ -157,28 +167,32 @@ def _jaccard(a: str, b: str, width: int) -> float:
     return both / either if either else 0.0
 
 
-def class_links(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, least_words: int = 0) -> tuple[DataFrame, DataFrame]:
+def class_links(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, least_words: int = 0, only: tuple[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(links, members) of near-duplicate texts.
 
     links: same_a, same_b, similarity, one row per pair of different classes at or above the threshold.
     members: key, same, one row per key of a text that takes part.
 
     Null texts and texts shorter than ``least_words`` or ``width`` words take no part.  A key that occurs in several rows
-    counts once; its rows should be equal.  Extra columns are ignored.  Empty input gives empty results.
+    counts once; its rows should be equal.  ``only`` names a column of ``df`` and gives a table of one column of that name:
+    texts whose value is not in it take no part.  The texts are not moved for that; what passes for
+    one by its hash is taken out of the members.  Extra columns are ignored.  Empty input gives empty results.
     """
-    sketches = materialise(sketch(df, key, text, width, least_words), "sketch")
-    members = sketches.select("key", "same").distinct()
-    classes = sketches.groupBy("same").agg(*[F.first(c).alias(c) for c in ("n", "f0", "f1", "bands")], F.min("key").alias("lead"))
-    classes = materialise(classes, "classes")
-    # registers decide first, over rows of fixed width; only what they leave needs its text
-    packed = classes.select("same", "bands", "lead")
-    pairs = (
-        candidates(classes, threshold)
-        .join(packed.select(F.col("same").alias("same_a"), F.col("bands").alias("ba"), F.col("lead").alias("lead_a")), "same_a")
-        .join(packed.select(F.col("same").alias("same_b"), F.col("bands").alias("bb"), F.col("lead").alias("lead_b")), "same_b")
-    )
+    df = marked(df, only[0], only[1]) if only else df
+    sketches = materialise(sketch(df, key, text, width, least_words, only and only[0]), "sketch")
+    members = sketches.select("key", "owner", "same")
+    if only:
+        members = members.join(only[1].select(F.col(only[0]).alias("owner")), "owner", "left_semi")
+    members = members.select("key", "same").distinct()
+    pairs = materialise(candidates(sketches, threshold), "candidates")
+    # registers decide first, then the texts; of both only the rows that some pair needs are moved
+    ends = pairs.select(F.explode(F.array("same_a", "same_b")).alias("same")).distinct()
+    wanted = marked(sketches.where("bands IS NOT NULL"), "same", ends).join(ends, "same", "left_semi")
+    packed = materialise(wanted.groupBy("same").agg(F.min_by("bands", "key").alias("bands"), F.min("key").alias("lead")), "packed")
     spread = 5 * (threshold * (1 - threshold) / REGISTERS) ** 0.5 + 0.05  # borrowed registers vary together
-
+    pairs = pairs.join(packed.select(F.col("same").alias("same_a"), F.col("bands").alias("ba"), F.col("lead").alias("lead_a")), "same_a").join(
+        packed.select(F.col("same").alias("same_b"), F.col("bands").alias("bb"), F.col("lead").alias("lead_b")), "same_b"
+    )
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
@@ -187,9 +201,10 @@ def class_links(df: DataFrame, key: str, text: str, width: int = 5, threshold: f
             yield pdf[["same_a", "lead_a", "same_b", "lead_b"]]
 
     kind = sketches.schema["key"].dataType.simpleString()
-    likely = materialise(pairs.mapInPandas(weigh, f"same_a string, lead_a {kind}, same_b string, lead_b {kind}"), "likely")
+    likely = materialise(pairs.mapInPandas(weigh, f"same_a bigint, lead_a {kind}, same_b bigint, lead_b {kind}"), "likely")
     ends = likely.select(F.explode(F.array("lead_a", "lead_b")).alias("key")).distinct()
-    texts = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(ends, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    source = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull())
+    texts = marked(source, "key", ends).join(ends, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     both = likely.join(texts.select(F.col("key").alias("lead_a"), F.col("text").alias("ta")), "lead_a").join(texts.select(F.col("key").alias("lead_b"), F.col("text").alias("tb")), "lead_b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,18 +212,18 @@ def class_links(df: DataFrame, key: str, text: str, width: int = 5, threshold: f
             sure = pdf[["same_a", "same_b"]].assign(similarity=[_jaccard(a, b, width) for a, b in zip(pdf["ta"], pdf["tb"])])
             yield sure[sure["similarity"] >= threshold]
 
-    links = both.mapInPandas(verify, "same_a string, same_b string, similarity double")
+    links = both.mapInPandas(verify, "same_a bigint, same_b bigint, similarity double")
     return links, members
 
 
-def near_duplicate_pairs(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, least_words: int = 0) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, least_words: int = 0, only: tuple[str, DataFrame] | None = None) -> DataFrame:
     """key_a < key_b for texts whose similarity reaches the threshold, equal texts included.
 
     Pairs between two classes of copies are written out while there are at most EXPANDED_PAIRS of them; of larger
     classes the representatives (smallest keys) are paired, and every copy with its representative: no
     link between different texts is lost, and ``near_duplicate_groups`` tells each copy's class.
     """
-    links, members = class_links(df, key, text, width, threshold, least_words)
+    links, members = class_links(df, key, text, width, threshold, least_words, only)
     sizes = members.groupBy("same").agg(F.count("*").alias("size"), F.min("key").alias("lead"))
     many = sizes.where("size > 1")
     inner = many.alias("c").join(members.alias("m"), "same").select("same", "lead", "size", F.col("m.key").alias("key"))
@@ -229,9 +244,12 @@ def near_duplicate_pairs(df: DataFrame, key: str, text: str, width: int = 5, thr
     return across.unionByName(within).unionByName(star)
 
 
-def near_duplicate_groups(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, least_words: int = 0) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, least_words: int = 0, only: tuple[str, DataFrame] | None = None) -> DataFrame:
     """key, class_key (smallest key of its class of equal texts), copies (size of that class), links (similar other classes)."""
-    links, members = class_links(df, key, text, width, threshold, least_words)
+    links, members = class_links(df, key, text, width, threshold, least_words, only)
+    if only:
+        present = members.select("same").distinct()
+        links = links.join(present.withColumnRenamed("same", "same_a"), "same_a", "left_semi").join(present.withColumnRenamed("same", "same_b"), "same_b", "left_semi")
     degree = links.select(F.explode(F.array("same_a", "same_b")).alias("same")).groupBy("same").agg(F.count("*").alias("links"))
     sizes = members.groupBy("same").agg(F.count("*").alias("copies"), F.min("key").alias("class_key"))
     return members.join(sizes.join(degree, "same", "left"), "same").select("key", "class_key", "copies", F.coalesce("links", F.lit(0)).alias("links"))

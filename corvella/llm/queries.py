@@ -7,30 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvella.llm import language, near_duplicates, splitting, vector_join
-from corvella.runtime import table
+from corvella.llm import language, near_duplicates, scan_repair, splitting, vector_join
+from corvella.runtime import materialise, table
 
 
-def chunks_of(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
-    """Chunks of assets of the given types, with their asset's configuration; each asset counts once."""
-    assets = table(spark, sf_dir, "assets").where(F.col("asset_type").isin(*kinds))
-    assets = assets.groupBy(F.col("asset_id").alias("chunk_asset_id")).agg(F.first("asset_type").alias("asset_type"), F.first("asset_config").alias("asset_config"))
-    return table(spark, sf_dir, "chunks").join(assets, "chunk_asset_id")
-
-
-def file_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "assets").where("asset_type = 'file'").select(F.col("asset_id").alias("chunk_asset_id"))
-    return table(spark, sf_dir, "chunks").join(files, "chunk_asset_id", "left_semi")
+def assets_of(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    """chunk_asset_id of the assets of the given types, each once."""
+    return table(spark, sf_dir, "assets").where(F.col("asset_type").isin(*kinds)).select(F.col("asset_id").alias("chunk_asset_id")).distinct()
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = near_duplicates.near_duplicate_pairs(file_chunks(spark, sf_dir), "chunk_id", "chunk_text", width=3, threshold=0.6, least_words=40)
+    files = ("chunk_asset_id", assets_of(spark, sf_dir, "file"))
+    pairs = near_duplicates.near_duplicate_pairs(table(spark, sf_dir, "chunks"), "chunk_id", "chunk_text", width=3, threshold=0.6, least_words=40, only=files)
     return pairs.select(F.col("key_a").alias("chunk_id_a"), F.col("key_b").alias("chunk_id_b"))
 
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates at the library's defaults: five words, similarity 0.8; one row per chunk with its class and number of links."""
-    return near_duplicates.near_duplicate_groups(file_chunks(spark, sf_dir), "chunk_id", "chunk_text").withColumnRenamed("key", "chunk_id")
+    files = ("chunk_asset_id", assets_of(spark, sf_dir, "file"))
+    return near_duplicates.near_duplicate_groups(table(spark, sf_dir, "chunks"), "chunk_id", "chunk_text", only=files).withColumnRenamed("key", "chunk_id")
 
 
 def _vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,14 +78,38 @@ def p3_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = p3_stretches(spark, sf_dir).groupBy("rec_kind", "rec_id", "asset_id", "label").agg(F.collect_set("lang").alias("langs"))
     assets = table(spark, sf_dir, "assets").where(F.col("asset_type").isin("file", "url")).select("asset_id", F.get_json_object("asset_config", "$.lang").alias("recorded")).groupBy("asset_id").agg(F.first("recorded").alias("recorded"))
-    searches = texts.where("rec_kind = 'search'").withColumn("recorded", F.col("label"))
-    chunks = texts.where("rec_kind = 'chunk'").join(assets, "asset_id")
-    both = searches.select("rec_kind", "rec_id", "langs", "recorded").unionByName(chunks.select("rec_kind", "rec_id", "langs", "recorded"))
+    # one pass over the texts: requests have no asset and keep their own label
+    both = texts.join(assets.withColumn("found", F.lit(True)), "asset_id", "left").where(F.col("found") | (F.col("rec_kind") == "search"))
+    both = both.withColumn("recorded", F.when(F.col("rec_kind") == "search", F.col("label")).otherwise(F.col("recorded")))
     told = language.label_language(F.col("recorded"))
     cases = both.where((F.size("langs") > 1) | told.isNull() | (told != F.col("langs")[0]))
     return cases.select("rec_kind", "rec_id", F.explode("langs").alias("lang"))
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that may be pages of scanned files: their metadata names PDF or nothing."""
+    return table(spark, sf_dir, "chunks").where(F.coalesce("chunk_metadata.format", F.lit("pdf")) == "pdf").select("chunk_id", "chunk_asset_id", "chunk_text")
+
+
+def _page_marks(spark: SparkSession, sf_dir: str, counts: dict[str, int]) -> DataFrame:
+    # few short rows a page come back; only they are joined with the assets, the texts stay where they lie
+    marks = scan_repair.scan_marks(_pages(spark, sf_dir), "chunk_id", "chunk_asset_id", "chunk_text", counts)
+    files = assets_of(spark, sf_dir, "file").withColumnRenamed("chunk_asset_id", "owner")
+    return materialise(marks.join(files, "owner", "left_semi"), "pagemarks")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = _page_marks(spark, sf_dir, scan_repair.lexicon(table(spark, sf_dir, "chunks"), "chunk_text"))
+    return scan_repair.page_defects(marks).select(F.col("key").alias("chunk_id"), "defect")
+
+
+def p6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired text of every page of a file."""
+    counts = scan_repair.lexicon(table(spark, sf_dir, "chunks"), "chunk_text")
+    pages = _pages(spark, sf_dir).join(assets_of(spark, sf_dir, "file"), "chunk_asset_id", "left_semi")
+    return scan_repair.repaired_pages(pages, "chunk_id", "chunk_asset_id", "chunk_text", counts, _page_marks(spark, sf_dir, counts)).select(F.col("key").alias("chunk_id"), "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_groups": p2_groups,
@@ -100,6 +119,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_neighbours": p4_neighbours,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p6_found": p6_found,
+    "p6_pages": p6_pages,
 }
 
 _NEIGHBOURS = """

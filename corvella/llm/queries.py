@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvella.llm import language, near_duplicates, scan_repair, splitting, vector_join
-from corvella.runtime import materialise, table
+from corvella.llm import language, leakage, main_content, near_duplicates, packing, scan_repair, spam_pages, splitting, vector_join
+from corvella.runtime import marked, materialise, table
 
 
 def assets_of(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
@@ -16,6 +16,27 @@ def assets_of(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
     return table(spark, sf_dir, "assets").where(F.col("asset_type").isin(*kinds)).select(F.col("asset_id").alias("chunk_asset_id")).distinct()
 
 
+def p1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every page chunk that is not blank, with its probability of being boilerplate."""
+    pages = assets_of(spark, sf_dir, "url")
+    # the network reads the texts where they lie; its short answers are joined with the assets
+    chunks = marked(table(spark, sf_dir, "chunks").select("chunk_id", "chunk_asset_id", "chunk_text"), "chunk_asset_id", pages)
+    lines = main_content.label_lines(chunks, "chunk_text", ["chunk_id", "chunk_asset_id"])
+    return lines.join(pages, "chunk_asset_id", "left_semi").select("chunk_id", "line_no", "boilerplate")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_lines(spark, sf_dir).where("boilerplate >= 0.5").select("chunk_id", "line_no").distinct()
+
+
+def p1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article text of every page chunk."""
+    pages = assets_of(spark, sf_dir, "url")
+    chunks = marked(table(spark, sf_dir, "chunks").select("chunk_id", "chunk_asset_id", "chunk_text"), "chunk_asset_id", pages)
+    texts = main_content.main_text(chunks, "chunk_text", ["chunk_id", "chunk_asset_id"])
+    return texts.join(pages, "chunk_asset_id", "left_semi").dropDuplicates(["chunk_id"]).select("chunk_id", "main_text")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = ("chunk_asset_id", assets_of(spark, sf_dir, "file"))
     pairs = near_duplicates.near_duplicate_pairs(table(spark, sf_dir, "chunks"), "chunk_id", "chunk_text", width=3, threshold=0.6, least_words=40, only=files)
@@ -110,7 +131,46 @@ def p6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_repair.repaired_pages(pages, "chunk_id", "chunk_asset_id", "chunk_text", counts, _page_marks(spark, sf_dir, counts)).select(F.col("key").alias("chunk_id"), "text")
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document, for each window size."""
+    windows = table(spark, sf_dir, "context_windows").select(F.col("window_id").alias("bin_kind"), F.col("capacity_tokens").alias("capacity"))
+    packed = packing.pack_texts(table(spark, sf_dir, "documents"), "doc_id", "text", windows)
+    return packed.withColumnsRenamed({"bin_kind": "window_id", "key": "doc_id", "start_at": "start_token", "size": "tokens"})
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and the share of room used, by window size."""
+    windows = table(spark, sf_dir, "context_windows").select("window_id", "capacity_tokens")
+    by_container = p7_containers(spark, sf_dir).groupBy("window_id").agg(F.count_distinct("container_no").alias("containers"), F.sum("tokens").alias("tokens"))
+    return by_container.join(windows, "window_id").withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
+
+
+def _leaks(spark: SparkSession, sf_dir: str, **options: int) -> DataFrame:
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text", **options)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir, window=13).select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p8_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks of 20 words in a row with at most 2 of them changed, put in or left out."""
+    return _leaks(spark, sf_dir, window=20, edits=2).select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "edits")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_pages.spam_pages(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's shares of words in prose, link lists, tag lists and menus."""
+    return spam_pages.spam_shares(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_lines": p1_lines,
+    "p1_main_text": p1_main_text,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
     "p3_found": p3_found,
@@ -121,6 +181,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_pieces": p5_pieces,
     "p6_found": p6_found,
     "p6_pages": p6_pages,
+    "p7_containers": p7_containers,
+    "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_edited": p8_edited,
+    "p9_found": p9_found,
+    "p9_shares": p9_shares,
 }
 
 _NEIGHBOURS = """
@@ -144,6 +210,12 @@ WITH newest AS (
   FROM process_requests WHERE file_id IS NOT NULL GROUP BY file_id)
 SELECT DISTINCT chunk_id FROM chunks LEFT JOIN newest ON file_id = chunk_asset_id
 WHERE length(chunk_text) > CASE WHEN chunk_size > 0 THEN chunk_size ELSE 800 END""",
+    "p8_found": """
+WITH docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+items AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
+dw AS (SELECT doc_id, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM docs WHERE len(w) >= 13)),
+iw AS (SELECT item_id, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS i FROM items WHERE len(w) >= 13))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (s)""",
     "p2_found": """
 WITH texts AS (
   SELECT DISTINCT chunk_id, regexp_extract_all(lower(chunk_text), '[\\p{L}\\p{N}]+') AS w

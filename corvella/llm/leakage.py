@@ -25,6 +25,7 @@ SAMPLED = 6
 #: Item windows that are sent to the executors at once; larger sets of items go in several passes over the documents.
 BLOCK_WINDOWS = 500_000
 _SLICE_WORDS = 300_000
+_PAIRS = 100_000
 
 
 def repetitions(window: int, edits: int, recall: float) -> int:
@@ -75,6 +76,17 @@ def edit_distance(a: list[str], b: list[str], most: int) -> int:
     return min(row[-1], most + 1)
 
 
+def within_reach(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, window: int, edits: int) -> np.ndarray:
+    """Whether pairs of windows can be within ``edits`` edits: all but so many words must recur at most that far away."""
+    span = np.arange(window)
+    mine = a[at[:, None] + span]
+    found = np.zeros(mine.shape, bool)
+    for shift in range(-edits, edits + 1):
+        lo, hi = max(0, -shift), window - max(0, shift)
+        found[:, lo:hi] |= mine[:, lo:hi] == b[bt[:, None] + span[lo + shift : hi + shift]]
+    return found.sum(axis=1) >= window - edits
+
+
 class _Items:
     """The windows of a block of items, by key."""
 
@@ -93,6 +105,7 @@ class _Items:
                 self.offset.append(np.arange(n))
         s = np.concatenate(starts)
         self.item, self.offset = np.concatenate(self.item), np.concatenate(self.offset)
+        self.codes, self.starts = codes, s
         self.tables = []
         for r in range(reps):
             keys = window_keys(codes, s, window, r)
@@ -124,14 +137,16 @@ def _search(batches: Iterator[pd.DataFrame], items: _Items, window: int, edits:
         best: dict[tuple[int, int], int] = {}
         for r in range(reps):
             asked, theirs = items.matches(window_keys(codes, starts, window, r), r)
-            for s, k in zip(starts[asked].tolist(), theirs.tolist()):
-                pair = (int(owner[s]), int(items.item[k]))
-                if best.get(pair, edits + 1) > 0:
-                    o = int(items.offset[k])
-                    mine, item = words[s : s + window], items.words[pair[1]][o : o + window]
-                    d = 0 if mine == item else edit_distance(mine, item, edits) if edits else 1
-                    if d <= edits:
-                        best[pair] = min(best.get(pair, d), d)
+            for at in range(0, len(asked), _PAIRS):
+                mine, item = starts[asked[at : at + _PAIRS]], items.starts[theirs[at : at + _PAIRS]]
+                close = within_reach(codes, mine, items.codes, item, window, edits)
+                for s, k in zip(mine[close].tolist(), theirs[at : at + _PAIRS][close].tolist()):
+                    pair = (int(owner[s]), int(items.item[k]))
+                    if best.get(pair, edits + 1) > 0:
+                        o = int(items.offset[k])
+                        d = edit_distance(words[s : s + window], items.words[pair[1]][o : o + window], edits)
+                        if d <= edits:
+                            best[pair] = min(best.get(pair, d), d)
         return pd.DataFrame({"key": [keys[d] for d, _ in best], "item": [items.ids[i] for _, i in best], "edits": np.array(list(best.values()), "int32")})
 
     for pdf in batches:

@@ -17,11 +17,12 @@ def _seconds(time: Column) -> Column:
 
 
 def args_hash(task_name: Column, args: dict[str, Column]) -> Column:
-    """SHA-256 of the arguments and the task's name as JSON with sorted keys and a space after each mark."""
+    """SHA-256 of the arguments and the task's name as JSON with sorted keys and a space after each mark; strings of plain characters."""
     parts = []
     for k, v in sorted({**args, "task_name": task_name}.items()):
         text = F.when(v.isNull(), F.lit("null"))
-        quoted = F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(v.cast("string"), r"\\", r"\\\\\\\\"), '"', r'\\\\"'), F.lit('"'))
+        escaped = F.replace(F.replace(v.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+        quoted = F.concat(F.lit('"'), escaped, F.lit('"'))
         parts.append(F.concat(F.lit(f'"{k}": '), text.otherwise(quoted if k == "task_name" else v.cast("string"))))
     return F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")), 256)
 

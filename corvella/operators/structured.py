@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from corvella.config import Settings
 from corvella.functions.text import strip
+from corvella.runtime import materialise
 
 DEFAULTS = Settings()
 
@@ -56,13 +57,11 @@ def row_documents(df: DataFrame, sheet: list[str], order: list[str], columns: li
     )
 
 
-def dense_documents(df: DataFrame, key: str, columns: list[str], rows: int = DEFAULTS.rows_per_document, parts: int = 1 << 10) -> DataFrame:
+def dense_documents(df: DataFrame, key: str, columns: list[str], rows: int = DEFAULTS.rows_per_document) -> DataFrame:
     """``row_documents`` of one huge sheet ordered by a numeric ``key``: rows are numbered inside ranges of the key and shifted by the sizes
     of the ranges before, so that no task sees the whole sheet.  A few equal keys may be many; they are ordered by all columns."""
     some = df.where(F.coalesce(*[F.col(f"`{c}`").cast("string") for c in columns]).isNotNull())
-    ranged = some.repartitionByRange(parts, key, *[F.col(f"`{c}`") for c in columns if c != key]).withColumn("_part", F.spark_partition_id())
-    from corvella.runtime import materialise
-
+    ranged = some.repartitionByRange(key, *[F.col(f"`{c}`") for c in columns if c != key]).withColumn("_part", F.spark_partition_id())
     ranged = materialise(ranged, "ranged")
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvella.config import Settings
@@ -160,8 +160,13 @@ def process_request_defaults(spark: SparkSession, sf: str) -> DataFrame:
 
 # tasks
 
-NOW = F.lit("2024-01-10 00:00:00").cast("timestamp")
-_NOW = "TIMESTAMP '2024-01-10 00:00:00'"
+_AT = "2024-01-10 00:00:00"
+_NOW = f"TIMESTAMP '{_AT}'"
+
+
+def _now() -> Column:
+    return F.lit(_AT).cast("timestamp")
+
 _STATES = ["PENDING", "STARTED", "RETRY", "SUCCESS", "FAILURE"]
 _LEDGER = """SELECT event_id AS execution_id, event_type AS task_name, CAST(user_id AS VARCHAR) AS task_args_hash, ['PENDING', 'STARTED', 'RETRY', 'SUCCESS', 'FAILURE'][event_id % 5 + 1] AS status,
  CASE WHEN event_id % 5 <> 0 THEN ts + INTERVAL 5 SECOND END AS started_at, ts AS created_at FROM events"""
@@ -196,7 +201,7 @@ def _asked(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT a.task_name, a.task_args_hash, l.status FROM ({_ASKED}) a LEFT JOIN {_LATEST} l USING (task_name, task_args_hash)")
 def ledger_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger.decisions(_asked(spark, sf), _ledger(spark, sf), NOW).select("task_name", "task_args_hash", "status")
+    return ledger.decisions(_asked(spark, sf), _ledger(spark, sf), _now()).select("task_name", "task_args_hash", "status")
 
 
 _AGE = f"(epoch({_NOW}) - epoch(started_at)) > 660"
@@ -205,18 +210,18 @@ _AGE = f"(epoch({_NOW}) - epoch(started_at)) > 660"
 @query(f"""SELECT a.task_name, a.task_args_hash, CASE WHEN l.status IS NULL THEN true WHEN l.status = 'SUCCESS' THEN false WHEN l.status IN ('PENDING', 'STARTED', 'RETRY') THEN coalesce({_AGE}, false) ELSE true END AS run
 FROM ({_ASKED}) a LEFT JOIN {_LATEST} l USING (task_name, task_args_hash)""")
 def task_decision(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger.decisions(_asked(spark, sf), _ledger(spark, sf), NOW).select("task_name", "task_args_hash", "run")
+    return ledger.decisions(_asked(spark, sf), _ledger(spark, sf), _now()).select("task_name", "task_args_hash", "run")
 
 
 @query(f"SELECT execution_id, status, coalesce({_AGE}, false) AS stuck FROM ({_LEDGER}) WHERE status IN ('PENDING', 'STARTED', 'RETRY')")
 def ledger_age_flags(spark: SparkSession, sf: str) -> DataFrame:
     open_tasks = _ledger(spark, sf).where(F.col("status").isin("PENDING", "STARTED", "RETRY"))
-    return open_tasks.select("execution_id", "status", ledger.should_run(F.col("status"), F.col("started_at"), NOW).alias("stuck"))
+    return open_tasks.select("execution_id", "status", ledger.should_run(F.col("status"), F.col("started_at"), _now()).alias("stuck"))
 
 
 @query(f"SELECT status, count(*) AS left_over FROM ({_LEDGER}) WHERE NOT (epoch(created_at) < epoch({_NOW}) - 86400 AND status IN ('SUCCESS', 'FAILURE')) GROUP BY status")
 def task_cleanup(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger.kept(_ledger(spark, sf), NOW).groupBy("status").agg(F.count("*").alias("left_over"))
+    return ledger.kept(_ledger(spark, sf), _now()).groupBy("status").agg(F.count("*").alias("left_over"))
 
 
 @query("""SELECT event_id, CASE WHEN s = 'PENDING' AND event_id % 2 = 0 THEN 'not_found' WHEN s = 'SUCCESS' THEN 'completed' WHEN s IN ('FAILURE', 'REVOKED') THEN 'failed' ELSE 'pending' END AS signal
@@ -237,7 +242,7 @@ def task_strip_internal(spark: SparkSession, sf: str) -> DataFrame:
 def ledger_update(spark: SparkSession, sf: str) -> DataFrame:
     base = _ledger(spark, sf).withColumns({"result": F.lit(None).cast("string"), "completed_at": F.lit(None).cast("timestamp"), "updated_at": F.lit(None).cast("timestamp")})
     changes = base.where("execution_id % 11 = 0").select("execution_id", F.lit("SUCCESS").alias("new_status"), F.lit("").alias("new_result"))
-    return ledger.updated(base, changes, NOW).select("execution_id", "status", "completed_at")
+    return ledger.updated(base, changes, _now()).select("execution_id", "status", "completed_at")
 
 
 @query("SELECT event_id, (event_id % 700) IN (408, 409, 429) OR (event_id % 700) BETWEEN 500 AND 599 OR event_type LIKE '%click%' AS again FROM events")

@@ -173,8 +173,8 @@ def documents(files: DataFrame) -> DataFrame:
                     found = LOADERS[loader](data) if loader in LOADERS else [{"error": f"no parser for {loader}"}]
                 except Exception as e:  # a broken file must not end the others
                     found = [{"error": f"{type(e).__name__}: {e}"}]
-                rows += [{"path": path, **d} for d in found]
-            yield pd.DataFrame(rows, columns=columns).astype({"total_rows": "Int32"})
+                rows += [[{"path": path, **d}.get(c) for c in columns] for d in found]
+            yield pd.DataFrame(rows, columns=columns, dtype=object).astype({"total_rows": "Int32"})
 
     return files.where("loader IS NOT NULL").select("path", "bytes", "loader").mapInPandas(run, SCHEMA)
 

@@ -123,7 +123,7 @@ def sketch(df: DataFrame, key: str, text: str, width: int, least_words: int, own
                 yield pd.DataFrame({"key": keys, "owner": owners, "same": same, "n": n, "fold": fold, "bands": bands})
 
     kind, belongs = (df.schema[c].dataType.simpleString() for c in (key, owner or key))
-    source = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{owner or key}`").alias("owner"), F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull() & (F.length("text") >= 2 * floor - 1))
+    source = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{owner or key}`").alias("owner"), F.col(f"`{text}`").alias("text")).where(F.col("key").isNotNull() & F.col("text").isNotNull() & (F.length("text") >= 2 * floor - 1))
     return source.mapInPandas(run, f"key {kind}, owner {belongs}, same bigint, n int, fold bigint, bands array<bigint>")
 
 
@@ -173,7 +173,7 @@ def class_links(df: DataFrame, key: str, text: str, width: int = 5, threshold: f
     links: same_a, same_b, similarity, one row per pair of different classes at or above the threshold.
     members: key, same, one row per key of a text that takes part.
 
-    Null texts and texts shorter than ``least_words`` or ``width`` words take no part.  A key that occurs in several rows
+    Null keys, null texts and texts shorter than ``least_words`` or ``width`` words take no part.  A key that occurs in several rows
     counts once; its rows should be equal.  ``only`` names a column of ``df`` and gives a table of one column of that name:
     texts whose value is not in it take no part.  The texts are not moved for that; what passes for
     one by its hash is taken out of the members.  Extra columns are ignored.  Empty input gives empty results.

@@ -201,6 +201,8 @@ def language_stretches(df: DataFrame, text: str, keep: list[str], model: WordFir
                     rows += [r] * len(stretches)
                     no += range(1, len(stretches) + 1)
                     cols += stretches
+                if not rows:
+                    continue
                 out = pdf[keys].iloc[rows].reset_index(drop=True)
                 begin, end, lang, sure = (list(x) for x in zip(*cols)) if cols else ([], [], [], [])
                 yield out.assign(stretch_no=np.array(no, "int32"), start_at=np.array(begin, "int32"), end_at=np.array(end, "int32"), lang=[model.languages[x] for x in lang], confidence=np.array(sure, "float64"))

@@ -22,6 +22,8 @@ STATES = ("prose", "link_list", "tag_list", "menu")
 STAY = 0.85
 SEGMENT_WORDS = 40
 FLAG_SHARE = 0.5
+#: A page of fewer words is too short for a list.
+LEAST_WORDS = 8
 
 _WORD = re.compile(r"[^\W_]+")
 _LINK = re.compile(r"<a\b[^>]*>.*?(?:</a>|$)|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)\S+", re.IGNORECASE)
@@ -39,7 +41,7 @@ FUNCTION_WORDS = frozenset(
 der die das den dem des ein eine einen einem einer und oder dass ist sind war waren wird wurde wurden werden hat haben hatte nicht kein für von mit bei auf an am als wenn weil ob wie warum wo wer was zu zum zur bis nach vor aus im in um aber noch nur muss darf kann erst davon laut es
 le la les l un une des du de d et ou que qui ce cette il elle est sont était a ont avait ne pas pour par avec dans sur au aux en si quand car mais où comment pourquoi dont plus avant après doit peut faut selon se son sa ses jusqu c n s qu
 el los las un una unos unas y o que de del al en con por para es son era fue ha han había no si cuando porque pero donde cómo qué quién cuál más antes hasta desde se su sus lo hay según debe puede está sin nunca primero
-في من على إلى عن مع هذا هذه التي الذي أن إن كان كانت قد لم لا ما هل إذا لأن لكن حتى قبل بعد عند كل أو ثم تم تمت قام أراد يجب بين حيث منذ أي كيف لماذا أين متى تحت لدى""".split()
+في منها منه عدد من على إلى عن مع هذا هذه التي الذي أن إن كان كانت قد لم لا ما هل إذا لأن لكن حتى قبل بعد عند كل أو ثم تم تمت قام أراد يجب بين حيث منذ أي كيف لماذا أين متى تحت لدى""".split()
 )
 
 # What a segment shows, and how likely each state shows it: (prose, link list, tag list, menu).
@@ -103,7 +105,8 @@ def traits(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         shared = sum(pairs[x] > max(2, own[x]) and pairs[x] >= 4 for x in own)
         # function words inside a phrase that is said again and again show no sentence
         known = sum(x in FUNCTION_WORDS for x in plain)
-        if again > 0.2 * n or (own and shared > 0.6 * len(own)):
+        ended = bool(_END.search(p)) and m >= 4
+        if again > 0.2 * n or (not ended and own and shared > 0.6 * len(own)):
             chant = {x for pair, c in own.items() if c > 1 or (pairs[pair] >= 4 and pairs[pair] > c) for x in pair}
             known = sum(x in FUNCTION_WORDS and x not in chant for x in plain)
         single = Counter(plain)
@@ -112,7 +115,7 @@ def traits(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         rows[k] = (
             linked > 0,
             linked > 0.5 * len(p),
-            bool(_END.search(p)) and m >= 4,
+            ended,
             known >= max(1, 0.12 * m),
             known >= 0.25 * m and m >= 4,
             marks > 0 and m / (marks + 1) < 4,
@@ -145,11 +148,14 @@ def viterbi(rows: np.ndarray) -> np.ndarray:
 
 
 def page_shares(text: str) -> np.ndarray:
-    """Share of the page's words in each state; zeros for a page without words."""
+    """Share of the page's words in each state; zeros for a page without words, all prose for one of fewer than LEAST_WORDS."""
     parts = segments(text)
     out = np.zeros(4)
     if parts and _WORD.search(text):
         rows, sizes = traits(parts)
+        if sizes.sum() < LEAST_WORDS:
+            out[0] = 1
+            return out
         np.add.at(out, viterbi(rows), sizes)
         out /= out.sum()
     return out

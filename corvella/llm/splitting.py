@@ -126,6 +126,8 @@ def split_oversized(df: DataFrame, text: str, limit: str, overlap: str, keep: li
             for r, (t, size, lap) in enumerate(zip(pdf["_text"], pdf["_limit"], pdf["_overlap"])):
                 for k, (a, b) in enumerate(piece_spans(t, int(size), int(lap)), 1):
                     rows.append(r), no.append(k), begins.append(a), ends.append(b), texts.append(t[a:b])
+            if not rows:
+                continue
             out = pdf[[f.name for f in keys]].iloc[rows].reset_index(drop=True)
             yield out.assign(piece_no=np.array(no, "int32"), start_at=np.array(begins, "int32"), end_at=np.array(ends, "int32"), piece=texts)
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
 from corvella.config import Settings
 from corvella.operators import layout
+from corvella.operators.numbering import numbered
 
 DEFAULTS = Settings()
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -113,9 +114,9 @@ def page_chunks(elements: DataFrame, page: list[str], size: int = DEFAULTS.chunk
     return texts.unionByName(atomic)
 
 
-def chunk_records(chunks: DataFrame, asset: str, order: list[str | Column]) -> DataFrame:
-    """``chunks`` with chunk_order from 1 within each asset."""
-    return chunks.withColumn("chunk_order", F.row_number().over(Window.partitionBy(asset).orderBy(*order)))
+def chunk_records(chunks: DataFrame, asset: str, order: list[str]) -> DataFrame:
+    """``chunks`` with chunk_order from 1 within each asset, however many chunks one asset has."""
+    return numbered(chunks, [asset], order, "chunk_order")
 
 
 def routed(documents: DataFrame, format_column: str = "format") -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corvella.config import Settings
 from corvella.functions import geometry, predicates
 from corvella.functions.text import strip
+from corvella.operators.numbering import numbered
 
 DEFAULTS = Settings()
 
@@ -134,10 +135,10 @@ def text_islands(elements: DataFrame, page: list[str]) -> DataFrame:
     )
 
 
-def page_order(elements: DataFrame, file: str, page: str, tie: list[Column]) -> DataFrame:
+def page_order(elements: DataFrame, file: str, page: str, tie: list[str]) -> DataFrame:
     """``position`` from 0 through a file: pages ascending, elements without a page first."""
-    order = Window.partitionBy(file).orderBy(F.coalesce(F.col(page), F.lit(-1)), *tie)
-    return elements.withColumn("position", F.row_number().over(order) - 1)
+    paged = elements.withColumn("_page", F.coalesce(F.col(page), F.lit(-1)))
+    return numbered(paged, [file], ["_page", *tie], "position").withColumn("position", F.col("position") - 1).drop("_page")
 
 
 def clean_blocks(blocks: DataFrame, kind: str = "block_type", text: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvella.config import Settings
@@ -28,9 +28,9 @@ def args_hash(task_name: Column, args: dict[str, Column]) -> Column:
 
 
 def latest(ledger: DataFrame) -> DataFrame:
-    """The newest entry of each task; of equal times the higher execution_id."""
-    order = Window.partitionBy(*KEYS).orderBy(F.desc("created_at"), F.desc("execution_id"))
-    return ledger.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
+    """The newest entry of each task; of equal times the higher execution_id.  Aggregated before the shuffle, so that a task with many entries is no burden."""
+    newest = F.max_by(F.struct(*[c for c in ledger.columns if c not in KEYS]), F.struct("created_at", "execution_id"))
+    return ledger.groupBy(*KEYS).agg(newest.alias("_r")).select(*[F.col(c) if c in KEYS else F.col(f"_r.{c}").alias(c) for c in ledger.columns])
 
 
 def should_run(status: Column, started_at: Column, now: Column, limit: int = DEFAULTS.task_seconds) -> Column:

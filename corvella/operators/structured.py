@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvella.config import Settings
 from corvella.functions.text import strip
-from corvella.runtime import materialise
+from corvella.operators.numbering import numbered
 
 DEFAULTS = Settings()
 
@@ -34,42 +34,24 @@ def row_text(df: DataFrame, number: Column, columns: list[str]) -> Column:
 
 
 def numbered_rows(df: DataFrame, sheet: list[str], order: list[str], columns: list[str]) -> DataFrame:
-    """Rows with at least one value, numbered from 1 in each sheet as row_no."""
+    """Rows with at least one value, numbered from 1 in each sheet as row_no; a sheet may hold most of the rows."""
     some = df.where(F.coalesce(*[F.col(f"`{c}`").cast("string") for c in columns]).isNotNull())
-    return some.withColumn("row_no", F.row_number().over(Window.partitionBy(*sheet).orderBy(*order)))
+    return numbered(some, sheet, order)
 
 
 def row_documents(df: DataFrame, sheet: list[str], order: list[str], columns: list[str], rows: int = DEFAULTS.rows_per_document) -> DataFrame:
-    """The sheet columns, bucket (from 0), row_range, total_rows and rows_text of documents of ``rows`` rows each.
-
-    A window over a whole sheet numbers its rows; a file's sheet is read by one task anyway.  Tables of any size are
-    better numbered by ``dense_documents``.
-    """
-    numbered = numbered_rows(df, sheet, order, columns)
-    texts = numbered.withColumn("text", row_text(df, F.col("row_no"), columns)).withColumn("bucket", F.floor((F.col("row_no") - 1) / rows).cast("int"))
-    total = F.count("*").over(Window.partitionBy(*sheet))
-    with_total = texts.withColumn("total_rows", total)
-    ordered = F.array_sort(F.collect_list(F.struct("row_no", "text")))
-    span = F.concat((F.col("bucket") * rows + 1).cast("string"), F.lit("-"), F.least((F.col("bucket") + 1) * rows, F.col("total_rows")).cast("string"))
-    return (
-        with_total.groupBy(*sheet, "bucket").agg(F.max("total_rows").alias("total_rows"), F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("rows_text"))
-        .select(*sheet, "bucket", span.alias("row_range"), "total_rows", "rows_text")
-    )
-
-
-def dense_documents(df: DataFrame, key: str, columns: list[str], rows: int = DEFAULTS.rows_per_document) -> DataFrame:
-    """``row_documents`` of one huge sheet ordered by a numeric ``key``: rows are numbered inside ranges of the key and shifted by the sizes
-    of the ranges before, so that no task sees the whole sheet.  A few equal keys may be many; they are ordered by all columns."""
+    """The sheet columns, bucket (from 0), row_range, total_rows and rows_text of documents of ``rows`` rows each; no sheet columns: one sheet."""
+    texts = numbered_rows(df, sheet, order, columns).withColumn("text", row_text(df, F.col("row_no"), columns)).withColumn("bucket", F.floor((F.col("row_no") - 1) / rows).cast("int"))
+    ordered = F.array_sort(F.collect_list(F.struct("row_no", "text")))  # at most ``rows`` of them
+    documents = texts.groupBy(*sheet, "bucket").agg(F.max("row_no").alias("_last"), F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("rows_text"))
     some = df.where(F.coalesce(*[F.col(f"`{c}`").cast("string") for c in columns]).isNotNull())
-    ranged = some.repartitionByRange(key, *[F.col(f"`{c}`") for c in columns if c != key]).withColumn("_part", F.spark_partition_id())
-    ranged = materialise(ranged, "ranged")
-    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
-    total = ranged.agg(F.count("*").alias("total_rows"))
-    inside = Window.partitionBy("_part").orderBy(key, *[F.col(f"`{c}`") for c in columns if c != key])
-    numbered = ranged.withColumn("_place", F.row_number().over(inside)).join(F.broadcast(offsets.select("_part", "_ahead")), "_part").withColumn("row_no", F.col("_place") + F.col("_ahead"))
-    texts = numbered.withColumn("text", row_text(df, F.col("row_no"), columns)).withColumn("bucket", F.floor((F.col("row_no") - 1) / rows).cast("int"))
-    ordered = F.array_sort(F.collect_list(F.struct("row_no", "text")))
-    documents = texts.groupBy("bucket").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("rows_text")).crossJoin(F.broadcast(total))
-    span = F.concat((F.col("bucket") * rows + 1).cast("string"), F.lit("-"), F.least((F.col("bucket") + 1) * rows, F.col("total_rows")).cast("string"))
-    return documents.select("bucket", span.alias("row_range"), "total_rows", "rows_text")
+    if sheet:  # few sheets, counted before they meet the texts
+        totals = some.groupBy(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(sheet)]).agg(F.count("*").alias("total_rows"))
+        on = F.lit(True)
+        for i, c in enumerate(sheet):
+            on = on & documents[c].eqNullSafe(totals[f"_{i}"])
+        documents = documents.join(totals, on)
+    else:
+        documents = documents.crossJoin(F.broadcast(some.agg(F.count("*").alias("total_rows"))))
+    span = F.concat((F.col("bucket") * rows + 1).cast("string"), F.lit("-"), F.col("_last").cast("string"))
+    return documents.select(*sheet, "bucket", span.alias("row_range"), "total_rows", "rows_text")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corvella.config import Settings
 from corvella.functions.text import collection_name
+from corvella.operators.numbering import numbered
 
 DEFAULTS = Settings()
 #: Queries that are sent to the executors at once; a larger set goes in blocks of so many.
@@ -163,5 +164,4 @@ def aligned(texts: Column, vectors: Column, ids: Column) -> Column:
 
 def embedding_batches(rows: DataFrame, order: str, size: int = DEFAULTS.embed_batch) -> DataFrame:
     """batch_no, rows: how many rows each call of the embedding service gets."""
-    numbered = rows.select((F.row_number().over(Window.orderBy(order)) - 1).alias("n"))
-    return numbered.groupBy(F.floor(F.col("n") / size).cast("int").alias("batch_no")).agg(F.count("*").alias("rows"))
+    return numbered(rows.select(order), [], [order], "n").groupBy(F.floor((F.col("n") - 1) / size).cast("int").alias("batch_no")).agg(F.count("*").alias("rows"))

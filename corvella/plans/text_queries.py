@@ -209,7 +209,7 @@ WITH r AS (SELECT *, row_number() OVER (ORDER BY o_orderkey, o_orderstatus, o_or
 SELECT CAST((n - 1) // 50 AS INTEGER) AS bucket, ((n - 1) // 50 * 50 + 1) || '-' || least(((n - 1) // 50 + 1) * 50, max(total)) AS row_range, max(total) AS total_rows,
  string_agg({_ROW}, chr(10) || chr(10) ORDER BY n) AS rows_text FROM r GROUP BY (n - 1) // 50""")
 def struct_rows_text(spark: SparkSession, sf: str) -> DataFrame:
-    return structured.dense_documents(table(spark, sf, "orders").select(*_ORDER_COLUMNS), "o_orderkey", _ORDER_COLUMNS)
+    return structured.row_documents(table(spark, sf, "orders").select(*_ORDER_COLUMNS), [], _ORDER_COLUMNS, _ORDER_COLUMNS)
 
 
 @query("""WITH r AS (SELECT c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS n, count(*) OVER (PARTITION BY c_mktsegment) AS t FROM customer)
@@ -476,7 +476,7 @@ def page_text_islands(spark: SparkSession, sf: str) -> DataFrame:
 def page_reading_sort(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "lineitem").withColumn("page", F.when(F.col("l_linenumber") != 4, F.col("l_linenumber")))
     keys = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice"]
-    return layout.page_order(e, "l_suppkey", "page", [F.col(k) for k in keys]).select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "position")
+    return layout.page_order(e, "l_suppkey", "page", keys).select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "position")
 
 
 @query(f"""SELECT doc_id, b.pos AS block_no, b.line AS text FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {{'pos': i - 1, 'line': x}})) AS b FROM documents)

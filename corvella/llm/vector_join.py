@@ -12,7 +12,9 @@ Equal vectors are one class, joined once: a class answers for its members, small
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -177,8 +179,39 @@ def _large_neighbours(rows: DataFrame, key_type: str, group_type: str, width: in
                 yield pa.RecordBatch.from_arrays([b["grp"].take(keep), b["cls"].take(keep), b["other"].take(keep), pa.array(cos[keep])], ["grp", "cls", "other", "similarity"])
 
     sure = pairs.select("grp", "cls", "other", "v", "w").mapInArrow(exact, f"grp {group_type}, cls {key_type}, other {key_type}, similarity double")
-    top = Window.partitionBy("grp", "cls").orderBy(F.desc("similarity"), "other")
-    return sure.withColumn("place", F.row_number().over(top)).where(F.col("place") <= k).drop("place")
+    kinds = f"grp {group_type}, cls {key_type}, other {key_type}, similarity double"
+    return sure.repartition("grp", "cls").sortWithinPartitions("grp", "cls").mapInArrow(partial(_merged, k=k), kinds)
+
+
+def _merged(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """What the tiles found for a row, merged by a heap of its best k; rows come in order, and one's offers are at most
+    a few times k for each block that it met."""
+    held: list[tuple[float, object]] = []
+    row: tuple[object, object] | None = None
+    schema = None
+    done: list[tuple[object, object, object, float]] = []
+
+    def close() -> None:
+        if row is not None:
+            done.extend((*row, other, -minus) for minus, other in heapq.nsmallest(k, held))
+        held.clear()
+
+    def sent() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], schema.field(i).type) for i in range(4)], schema=schema)
+        done.clear()
+        return out
+
+    for b in batches:
+        schema = b.schema
+        for grp, cls, other, cos in zip(*(c.to_pylist() for c in b.columns)):
+            if (grp, cls) != row:
+                close()
+                row = (grp, cls)
+            held.append((-cos, other))
+        yield sent()
+    close()
+    if schema is not None:
+        yield sent()
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

@@ -35,7 +35,7 @@ def with_missing_projects(projects: DataFrame, wanted: DataFrame) -> DataFrame:
     """``projects`` (id, project_id, user_id) and one new row for each wanted (project_id, user_id) that has none, with the next surrogate keys."""
     missing = wanted.select("project_id", "user_id").where("project_id IS NOT NULL AND user_id IS NOT NULL").distinct().join(projects, ["project_id", "user_id"], "left_anti")
     start = projects.agg(F.greatest(F.coalesce(F.max("id"), F.lit(0)), F.lit(0)).alias("most"))
-    fresh = numbered(missing, [], ["project_id", "user_id"], "place").crossJoin(F.broadcast(start)).select((F.col("most") + F.col("place")).cast("int").alias("id"), "project_id", "user_id")
+    fresh = numbered(missing, [], ["project_id", "user_id"], "place").select((start.scalar() + F.col("place")).cast("int").alias("id"), "project_id", "user_id")
     return projects.select("id", "project_id", "user_id").unionByName(fresh)
 
 

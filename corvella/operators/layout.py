@@ -168,3 +168,29 @@ def page_documents(elements: DataFrame, page: list[str]) -> DataFrame:
     return both.where(strip(F.col("text")) != "").select("file_id", "page", "reading_order", F.col("text").alias("page_content"), meta.alias("metadata"))
 
 
+
+
+def assembled_pages(elements: DataFrame, tables: DataFrame, read: Column | None = None, describe: Column | None = None, rtl: bool = False) -> DataFrame:
+    """From the elements of pages (schemas.ELEMENTS) and their serialised tables (operators.tables.serialised, with bbox) to documents in reading order.
+
+    Text inside tables is dropped; a scanned page that ``read`` can read becomes its scan alone; on the others images
+    that ``describe`` can describe join the text and tables.  ``read`` and ``describe`` are columns over the page's or image's row; null ones do nothing.
+    """
+    page = ["file_id", "page"]
+    size = ["page_w", "page_h"]
+    bbox = geometry.normalised(F.col("bbox"), F.col("page_w"), F.col("page_h"))
+    valid = elements.withColumn("bbox", bbox).where(F.col("bbox").isNotNull())
+    texts = text_outside_tables(valid.where("content_type = 'text'"), tables, page).where(strip(F.col("text")) != "")
+    kinds = tables.select(*page, F.lit("table").alias("content_type"), "bbox", "text", "table_index")
+    images = valid.where("content_type = 'image'")
+    states = scanned_pages(texts.select(*page, *size, "content_type", "bbox", "text").unionByName(images.select(*page, *size, "content_type", "bbox", "text")).unionByName(kinds.join(valid.select(*page, *size).distinct(), page).select(*page, *size, "content_type", "bbox", "text")), page)
+    scans = scan_elements(states, read if read is not None else F.lit(None).cast("string")).select(*page, "content_type", "text")
+    seen = described_elements(image_candidates(images.drop("image_index"), page, ["elem_id"]), describe if describe is not None else F.lit(None).cast("string"))
+    seen = seen.join(states.where("is_scanned").select(*page), page, "left_anti")
+    empty = {"table_index": F.lit(None).cast("int"), "image_index": F.lit(None).cast("int")}
+    columns = [*page, *size, "content_type", "bbox", "text", "table_index", "image_index"]
+    sized = kinds.join(valid.select(*page, *size).distinct(), page).withColumn("image_index", empty["image_index"])
+    placed = texts.withColumns(empty).select(columns).unionByName(sized.select(columns)).unionByName(seen.withColumn("table_index", empty["table_index"]).select(columns))
+    ordered = reading_order(placed, page, ["content_type", "table_index", "image_index", "text"], rtl)
+    whole = scans.select(*page, F.lit(None).cast("double").alias("page_w"), F.lit(None).cast("double").alias("page_h"), "content_type", F.lit(None).cast(elements.schema["bbox"].dataType).alias("bbox"), "text", empty["table_index"].alias("table_index"), empty["image_index"].alias("image_index"), F.lit(0).alias("reading_order"))
+    return page_documents(ordered.unionByName(whole), page)

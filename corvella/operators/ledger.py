@@ -79,3 +79,9 @@ def status_signal(status: Column, known: Column) -> Column:
 def public_result(result: Column) -> Column:
     """A result map without its internal keys."""
     return F.map_filter(result, lambda k, _: ~k.startswith("_"))
+
+
+def recorded(ledger: DataFrame, tasks: DataFrame) -> DataFrame:
+    """The ledger with an entry for each new task (task_name, task_args_hash) that has none; a task given twice is entered once."""
+    fresh = tasks.dropDuplicates(KEYS).join(ledger.select(*KEYS), KEYS, "left_anti")
+    return ledger.unionByName(fresh, allowMissingColumns=True)

@@ -52,6 +52,6 @@ def row_documents(df: DataFrame, sheet: list[str], order: list[str], columns: li
             on = on & documents[c].eqNullSafe(totals[f"_{i}"])
         documents = documents.join(totals, on)
     else:
-        documents = documents.crossJoin(F.broadcast(some.agg(F.count("*").alias("total_rows"))))
+        documents = documents.withColumn("total_rows", some.agg(F.count("*").alias("total_rows")).scalar())
     span = F.concat((F.col("bucket") * rows + 1).cast("string"), F.lit("-"), F.col("_last").cast("string"))
     return documents.select(*sheet, "bucket", span.alias("row_range"), "total_rows", "rows_text")

@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvella.config import Settings
 from corvella.functions.text import collection_name
 from corvella.operators.numbering import numbered
+from corvella.runtime import materialise
 
 DEFAULTS = Settings()
 #: Queries that are sent to the executors at once; a larger set goes in blocks of so many.
-QUERY_BLOCK = 4_096
+QUERY_BLOCK = 32_768
+_TILE = 1_024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -68,65 +71,93 @@ def search(collection: DataFrame, query: list[float], k: int = DEFAULTS.search_l
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
+class _Best:
+    """The best k rows of each query so far, equal scores by key."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k = k
+        self.edge = np.full(queries, -np.inf)  # a score below it can't be among the best any more
+        self.q, self.s, self.key = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+
+    def offer(self, scores: np.ndarray, keys: np.ndarray, first: int, threshold: float | None) -> None:
+        """``scores`` of rows (down) and the queries from number ``first`` on (across); undefined ones rank first."""
+        ranked = np.where(np.isnan(scores), np.inf, scores)
+        span = slice(first, first + ranked.shape[1])
+        floor = self.edge[span]
+        if len(ranked) > self.k:
+            floor = np.maximum(floor, np.partition(ranked, len(ranked) - self.k, axis=0)[len(ranked) - self.k])
+        if threshold is not None:
+            floor = np.maximum(floor, threshold)
+        r, c = np.nonzero(ranked >= floor)
+        if not len(r):
+            return
+        q, s = np.concatenate([self.q, c + first]), np.concatenate([self.s, ranked[r, c]])
+        key = np.concatenate([self.key.astype(keys.dtype) if not len(self.key) else self.key, keys[r]])
+        order = np.lexsort((key, -s, q))
+        q, s, key = q[order], s[order], key[order]
+        begins = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+        place = np.arange(len(q)) - np.repeat(begins, np.diff(np.concatenate([begins, [len(q)]])))
+        keep = place < self.k
+        last = place == self.k - 1
+        self.edge[q[last]] = s[last]
+        self.q, self.s, self.key = q[keep], s[keep], key[keep]
+
+
+def _scan(batches: Iterator[pa.RecordBatch], sent: object, k: int, metric: str, threshold: float | None, names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    ids, matrix, norms = sent.value
+    best = _Best(len(ids), k)
+    width = matrix.shape[1]
+    for b in batches:
+        fit = np.flatnonzero(np.diff(b["v"].offsets.to_numpy()) == width)
+        for at in range(0, len(fit), _TILE):
+            part = b.take(pa.array(fit[at : at + _TILE]))
+            x = part["v"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+            keys = part["key"].to_numpy(zero_copy_only=False)
+            keys = keys.astype(str) if keys.dtype == object else keys
+            size = np.linalg.norm(x, axis=1)[:, None]
+            for first in range(0, len(ids), _TILE):
+                scores = x @ matrix[first : first + _TILE].T
+                if metric == "cosine":
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        scores = scores / (size * norms[None, first : first + _TILE])
+                best.offer(scores, keys, first, threshold)
+    for at in range(0, len(best.q), 50_000):
+        q, s, key = (v[at : at + 50_000] for v in (best.q, best.s, best.key))
+        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], kinds[0]), pa.array(key.tolist(), kinds[1]), pa.array(np.where(np.isinf(s), np.nan, s))], names)
+
+
 def batch_search(collection: DataFrame, queries: DataFrame, k: int = DEFAULTS.search_limit, metric: str = "cosine", threshold: float | None = None, key: str = "id", vector: str = "vector", query_key: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
     """query_key, key, score, place: each query's ``k`` best rows, equal scores by key.
 
-    The query set is stated by the caller; it goes to the executors in blocks of at most QUERY_BLOCK, and each task multiplies its rows
-    with a block and keeps every query's best ``k`` before anything is shuffled.  Vectors of another length than the query, and null ones, take no part.
+    The query set is stated by the caller and goes to the executors in blocks of at most QUERY_BLOCK, so that neither they nor the driver
+    hold more.  A task multiplies its rows with a block tile by tile and sends on each query's best ``k`` only.  One block is
+    searched lazily; of several, each is searched and written before the next is fetched.  Vectors of another length than the query, and null ones, take no part.
     """
-    rows = [(r[0], list(r[1])) for r in queries.select(query_key, query_vector).where(F.size(query_vector) > 0).orderBy(query_key).toLocalIterator()]
-    source = collection.select(F.col(f"`{key}`").alias("key"), F.col(f"`{vector}`").alias("v")).where(F.col("v").isNotNull())
-    key_type, query_type = source.schema["key"].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
-    schema = f"{query_key} {query_type}, {key} {key_type}, score double"
-
-    def block(part: list[tuple[object, list[float]]]) -> DataFrame:
-        width = len(part[0][1])
-        ids = [i for i, _ in part]
-        matrix = np.array([v for _, v in part], np.float64)
-        norms = np.linalg.norm(matrix, axis=1)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                lengths = np.diff(b["v"].offsets.to_numpy())
-                fit = np.flatnonzero(lengths == width)
-                if not len(fit):
-                    continue
-                b = b.take(pa.array(fit))
-                x = b["v"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
-                scores = x @ matrix.T
-                if metric == "cosine":
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        scores = scores / (np.linalg.norm(x, axis=1)[:, None] * norms[None, :])
-                # NaN ranks first, as it does in a descending order
-                ranked = np.where(np.isnan(scores), np.inf, scores)
-                keep = min(k + 32, len(x))  # room for rows that tie with the last
-                best = np.argpartition(-ranked, keep - 1, axis=0)[:keep] if keep < len(x) else np.repeat(np.arange(len(x))[:, None], len(ids), 1)
-                edge = np.take_along_axis(ranked, best, 0).min(axis=0)
-                r, c = best.ravel(order="F"), np.repeat(np.arange(len(ids)), best.shape[0])
-                tied = (ranked == edge[None, :]).sum(axis=0) > (np.take_along_axis(ranked, best, 0) == edge[None, :]).sum(axis=0)
-                for q in np.flatnonzero(tied):  # ties cross the cut: all of the column's rows at the edge
-                    more = np.setdiff1d(np.flatnonzero(ranked[:, q] == edge[q]), best[:, q])
-                    r, c = np.concatenate([r, more]), np.concatenate([c, np.full(len(more), q)])
-                s = scores[r, c]
-                if threshold is not None:
-                    ok = (s >= threshold) | np.isnan(s)
-                    r, c, s = r[ok], c[ok], s[ok]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in c], arrow_query), b["key"].take(pa.array(r)), pa.array(s, pa.float64())], [query_key, key, "score"])
-
-        return source.mapInArrow(run, schema)
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    arrow_query = to_arrow_type(queries.schema[query_key].dataType)
-    by_width: dict[int, list[tuple[object, list[float]]]] = {}
-    for r in rows:
-        by_width.setdefault(len(r[1]), []).append(r)
-    parts = [v[i : i + QUERY_BLOCK] for v in by_width.values() for i in range(0, len(v), QUERY_BLOCK)]
-    if not parts or k <= 0:
-        return collection.sparkSession.createDataFrame([], schema + ", place int")
-    found = reduce(DataFrame.unionByName, map(block, parts))
-    order = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    spark = collection.sparkSession
+    source = collection.select(F.col(f"`{key}`").alias("key"), F.col(f"`{vector}`").alias("v")).where(F.col("key").isNotNull() & F.col("v").isNotNull())
+    names = [query_key, key, "score"]
+    kinds = [to_arrow_type(queries.schema[query_key].dataType), to_arrow_type(source.schema["key"].dataType)]
+    schema = f"`{query_key}` {queries.schema[query_key].dataType.simpleString()}, `{key}` {source.schema['key'].dataType.simpleString()}, score double"
+
+    def found(block: list[tuple[object, list[float]]]) -> DataFrame:
+        matrix = np.array([v for _, v in block], np.float64)
+        sent = spark.sparkContext.broadcast(([i for i, _ in block], matrix, np.linalg.norm(matrix, axis=1)))
+        return source.mapInArrow(partial(_scan, sent=sent, k=k, metric=metric, threshold=threshold, names=names, kinds=kinds), schema)
+
+    def best(rows: DataFrame) -> DataFrame:
+        order = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
+        return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+    asked = queries.select(query_key, query_vector).where(F.size(query_vector) > 0) if k > 0 else queries.limit(0)
+    done: list[DataFrame] = []
+    held: dict[int, list[tuple[object, list[float]]]] = {}
+    for r in asked.toLocalIterator():
+        block = held.setdefault(len(r[1]), [])
+        block.append((r[0], list(r[1])))
+        if len(block) == QUERY_BLOCK:
+            done.append(materialise(best(found(held.pop(len(r[1])))), "search"))
+    done += [best(found(block)) for block in held.values()]
+    return reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], schema + ", place int")
 
 
 def upserted(collection: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:

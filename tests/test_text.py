@@ -164,6 +164,27 @@ def test_search_edges(spark):
     assert vectors.batch_search(rows, queries.limit(0), 2).count() == 0
 
 
+def test_batch_search_in_blocks_is_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = np.round(rng.standard_normal((300, 4)), 1)  # coarse, so that scores tie
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, vector array<float>").repartition(5)
+    queries = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 300, 10)], "query_id int, query_vector array<float>")
+    f = x.astype(np.float32).astype(float)
+    dots = f @ f.T
+    want = {(q, int(i)) for q in range(0, 300, 10) for i in np.lexsort((np.arange(300), -dots[q]))[:4]}
+    kept = vectors.QUERY_BLOCK
+    try:
+        for vectors.QUERY_BLOCK in (kept, 7):
+            got = {(r.query_id, r.id) for r in vectors.batch_search(rows, queries, 4, metric="dot").collect()}
+            assert got == want
+    finally:
+        vectors.QUERY_BLOCK = kept
+    text_keys = rows.selectExpr("'k' || id AS id", "vector")
+    assert vectors.batch_search(text_keys, queries, 2).count() == 60
+
+
 def test_histogram_of_nothing(spark):
     empty = spark.createDataFrame([], "method string, endpoint string, status int, duration_s double")
     assert metrics.latency_histogram(empty).count() == 0

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvella.llm.words import WORD, WordCodes, mix, shingle_codes
@@ -31,6 +31,8 @@ _SEEDS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xA0761D64
 #: beyond, copies are linked to their class's representative only, and groups() holds the membership.
 EXPANDED_PAIRS = 10_000
 _SLICE = 2_000
+#: Classes of one slot that a task compares with one another at a time.
+BLOCK = 2_000
 #: Texts whose class a task remembers, to send a class's registers on once; beyond, it forgets and starts anew.
 _KNOWN_CLASSES = 1_000_000
 
@@ -147,13 +149,21 @@ def _fold_floor(threshold: float) -> int:
 def candidates(sketches: DataFrame, threshold: float) -> DataFrame:
     """Pairs of classes (same_a < same_b) that share a band and whose size and folded registers fit the threshold."""
     rows = sketches.where("bands IS NOT NULL").select(F.posexplode("bands").alias("band", "value"), "same", "n", "fold").select(F.xxhash64("band", "value").alias("slot"), "same", "n", "fold")
-    # one exchange serves both sides of the join and the removal of a class's repeats from several tasks
+    # most bands are met once only: what is left after one pass is small, and is joined with itself from there
     rows = rows.repartition("slot").dropDuplicates(["slot", "same"])
-    a, b = rows.alias("a"), rows.alias("b")
+    met = materialise(rows.withColumn("met", F.count("*").over(Window.partitionBy("slot"))).where("met > 1"), "slots")
+    # a slot of many classes is cut into tiles, pairs of blocks of BLOCK classes, so that no task has all its pairs
+    blocks = F.ceil(F.col("met") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("same"), blocks).cast("int")
+    every = F.sequence(F.lit(0), blocks - 1)
+    left = met.withColumn("mine", own).select("slot", "same", "n", "fold", F.col("mine").alias("x"), F.explode(every).alias("y"))
+    right = met.withColumn("mine", own).select("slot", "same", "n", "fold", F.explode(every).alias("x"), F.col("mine").alias("y"))
+    a, b = left.alias("a"), right.alias("b")
     alike = F.lit(64) - F.bit_count(F.col("a.fold").bitwiseXOR(F.col("b.fold")))
     # n counts repeated shingles too, hence the slack of a quarter
     sized = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold * 0.75)
-    on = (F.col("a.slot") == F.col("b.slot")) & (F.col("a.same") < F.col("b.same")) & sized & (alike >= _fold_floor(threshold))
+    tile = (F.col("a.slot") == F.col("b.slot")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y"))
+    on = tile & (F.col("a.same") < F.col("b.same")) & sized & (alike >= _fold_floor(threshold))
     return a.join(b, on).select(F.col("a.same").alias("same_a"), F.col("b.same").alias("same_b")).distinct()
 
 

@@ -89,7 +89,10 @@ def pack(items: DataFrame, capacities: DataFrame) -> DataFrame:
     spark = items.sparkSession
     kinds = [(r.bin_kind, r.capacity) for r in capacities.where("capacity > 0").select("bin_kind", "capacity").distinct().collect()]
     kind_type = capacities.schema["bin_kind"].dataType.simpleString()
-    each = items.where("tokens > 0").crossJoin(F.broadcast(capacities.where("capacity > 0").select("bin_kind", "capacity").distinct()))
+    if not kinds:
+        return spark.createDataFrame([], f"bin_kind {kind_type}, key {items.schema['key'].dataType.simpleString()}, piece_no int, start_at long, size int, container_no long")
+    offers = F.array(*[F.struct(F.lit(k).cast(kind_type).alias("bin_kind"), F.lit(c).cast("long").alias("capacity")) for k, c in kinds])
+    each = items.where("tokens > 0").select("key", "tokens", F.explode(offers).alias("o")).select("key", "tokens", "o.bin_kind", "o.capacity")
     whole = F.floor(F.col("tokens") / F.col("capacity"))
     rest = each.withColumn("size", (F.col("tokens") % F.col("capacity")).cast("int")).where("size > 0").withColumn("piece_no", (whole + 1).cast("int"))
     histogram = rest.groupBy("bin_kind", "size").agg(F.count("*").alias("n"))
@@ -116,8 +119,6 @@ def pack(items: DataFrame, capacities: DataFrame) -> DataFrame:
     packed = found.select("bin_kind", "key", "piece_no", start.alias("start_at"), "size", (F.col("container") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))).alias("container_no"))
     # full pieces, numbered after the planned containers
     full = each.where(F.col("tokens") >= F.col("capacity")).withColumn("pieces", whole)
-    if not kinds:
-        return packed
     after = F.coalesce(*[F.when(F.col("bin_kind") == F.lit(k), F.lit(n)) for k, n in used]).cast("long")
     order = Window.partitionBy("bin_kind", "part").orderBy("key")
     shares = full.groupBy("bin_kind").agg((1 + F.floor(F.count("*") / RANKED)).cast("int").alias("parts"))

@@ -74,7 +74,7 @@ def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = chunk_limits(spark, sf_dir).withColumn("chunk_limit", F.when(F.col("chunk_size") > 0, F.col("chunk_size")).otherwise(splitting.DEFAULT_LIMIT))
     # rows no longer than the smallest limit at all need no join
     least = limits.agg(F.least(F.coalesce(F.min("chunk_limit"), F.lit(splitting.DEFAULT_LIMIT)), F.lit(splitting.DEFAULT_LIMIT)).alias("least_limit"))
-    chunks = table(spark, sf_dir, "chunks").select("chunk_id", "chunk_text", "chunk_asset_id").join(F.broadcast(least), F.length("chunk_text") > F.col("least_limit"))
+    chunks = table(spark, sf_dir, "chunks").select("chunk_id", "chunk_text", "chunk_asset_id").where(F.length("chunk_text") > least.scalar())
     sized = chunks.join(limits, chunks["chunk_asset_id"] == limits["file_id"], "left").withColumn("chunk_limit", F.coalesce("chunk_limit", F.lit(splitting.DEFAULT_LIMIT)))
     return sized.where(F.length("chunk_text") > F.col("chunk_limit")).dropDuplicates(["chunk_id"])
 

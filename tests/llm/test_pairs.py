@@ -167,3 +167,11 @@ def test_quantisation_bound_holds():
     q, s, e = vj.quantise(x)
     est, slack = vj.tile_bounds(q, s, e, q, s, e)
     assert (np.abs(est - x @ x.T) <= slack[:, None]).all()
+
+
+def test_hot_slots_are_cut_into_tiles(spark, texts, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 2)
+    df = spark.createDataFrame(list(texts.items()), "id int, body string")
+    got = {tuple(r) for r in nd.near_duplicate_pairs(df, "id", "body", width=3, threshold=0.6).collect()}
+    want = brute(texts, 3, 0.6)
+    assert got <= want and len(got & want) >= 0.99 * len(want)

@@ -1,7 +1,8 @@
 """Fits the block labeller: ``python -m corvella.llm.block_training TABLES_DIR [OUT]``.
 
 The tables carry no labels, so a bounded sample of page chunks (SAMPLE, the first by hash of the id) is labelled by a teacher:
-phrases that mark menus, consent notices, boxes and footers, and a rule for the entries under a box's heading.
+phrases that mark menus, consent notices, boxes and footers, and a rule for the entries under a box's heading.  Titles made of the
+page's own words are put between its sentences (TITLES), so that the network learns that a short line is no box by itself.
 The network sees neither the phrases nor the rule, only hashed words, marks and the page around a line.  Words are
 dropped at random in training, so that it learns to lean on marks and context where words are new.
 """
@@ -14,10 +15,10 @@ from pathlib import Path
 
 import numpy as np
 
-from corvella.llm.main_content import HIDDEN, INPUT, MODEL, PATH_SIZE, BlockLabeller, Vectors, text_blocks
+from corvella.llm.main_content import HIDDEN, INPUT, MODEL, PATH_SIZE, BlockLabeller, Vectors, block_path, text_blocks
 
 SAMPLE, HELD_OUT = 7_000, 1_000
-EPOCHS, BATCH, RATE, WORD_DROP = 24, 64, 3e-3, 0.15
+EPOCHS, BATCH, RATE, WORD_DROP, TITLES = 20, 64, 3e-3, 0.1, 0.6
 
 # Labels of menus in three languages.
 MENU = """Home|Products|Pricing|Docs|Blog|About us|Contact|Support|Careers|Press|Log in|Sign up|Search|Cart|My account|Help centre|Community|Events|Partners|Status|Downloads|Locations|Newsroom|Case studies|Services|Shop|Account|News|FAQ|Privacy|Terms
@@ -172,12 +173,35 @@ def train(pages: list[tuple[np.ndarray, np.ndarray]], seed: int = 1) -> BlockLab
     return BlockLabeller(a)
 
 
-def labelled_pages(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    vectors, out = Vectors(), []
+def with_titles(lines: list[str], labels: list[int], rng: np.random.Generator) -> tuple[list[str], list[int]]:
+    """A page with some made-up titles before its sentences: two to five words of the article, the first one capitalised."""
+    words = [w for x, y in zip(lines, labels) if not y for w in re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*", x)]
+    out, marks = [], []
+    for x, y in zip(lines, labels):
+        after_box = bool(marks) and marks[-1] == 1  # there, a title and an entry look alike
+        if words and not y and x.strip()[-1:] == "." and rng.random() < TITLES / (12 if after_box else 3):
+            title = " ".join(rng.choice(words, rng.integers(2, 6)).tolist())
+            out.append(title[0].upper() + title[1:])
+            marks.append(0)
+        out.append(x)
+        marks.append(y)
+    return out, marks
+
+
+def labelled_pages(texts: list[str], seed: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Vectors and labels of pages; with a seed, the pages get made-up titles."""
+    vectors, out, rng = Vectors(), [], np.random.default_rng(seed)
     for t in texts:
         _, blocks = text_blocks(t)
-        if blocks:
-            out.append((vectors.matrix(blocks), np.array(teach([b for _, b in blocks]), np.float32)))
+        if not blocks:
+            continue
+        lines = [b for _, b in blocks]
+        labels = teach(lines)
+        if seed is not None:
+            lines, labels = with_titles(lines, labels, rng)
+            gaps = ["gap" in p for p, _ in blocks]
+            blocks = [(block_path(x, bool(gaps[min(i, len(gaps) - 1)])), x) for i, x in enumerate(lines)]
+        out.append((vectors.matrix(blocks), np.array(labels, np.float32)))
     return out
 
 
@@ -190,12 +214,12 @@ def main(tables: str, out: str = str(MODEL)) -> None:
     chunks = chunks[chunks.chunk_asset_id.isin(urls)].drop_duplicates("chunk_id")
     chunks = chunks.assign(h=[hash((int(i) * 2654435761) % (1 << 32)) for i in chunks.chunk_id]).sort_values("h").head(SAMPLE + HELD_OUT)
     texts = [t for t in chunks.chunk_text if t]
-    model = train(labelled_pages(texts[HELD_OUT:]))
+    model = train(labelled_pages(texts[HELD_OUT:], seed=1))
     Path(out).parent.mkdir(exist_ok=True)
     np.savez_compressed(out, **{k: v.astype(np.float16) for k, v in model.a.items()})
     model = BlockLabeller.load(out)
     held = labelled_pages(texts[:HELD_OUT])
-    p = model.scores(np.concatenate([x for x, _ in held]), [len(y) for _, y in held]) >= 0.5
+    p = model.scores(model.projected(np.concatenate([x for x, _ in held])), [len(y) for _, y in held]) >= 0.5
     y = np.concatenate([y for _, y in held]) > 0
     print(f"held out: {len(y)} lines, agreement {np.mean(p == y):.4f}, precision {np.mean(y[p]):.4f}, recall {np.mean(p[y]):.4f}")
 

@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 
 from corvella.llm.words import WORD
 
-PATH_SIZE, WORD_SIZE, HIDDEN = 64, 256, 32
+PATH_SIZE, WORD_SIZE, HIDDEN = 64, 1024, 32
 INPUT = PATH_SIZE + WORD_SIZE
 MODEL = Path(__file__).parent / "models" / "blocks.npz"
 _CACHE = 300_000
 _SLICE = 1_000
+#: Blocks whose vectors exist at a time; beyond them only what the network makes of them is kept.
+_VECTORS = 4_096
 
 _BULLET = re.compile(r"^(?:[-*•›»>·+–]|\d{1,3}[.)])\s")
 _SEPARATED = re.compile(r"\s[|/·>»•–]\s|\s{2,}|\t")
@@ -120,10 +122,19 @@ class BlockLabeller:
         with np.load(path) as f:
             return cls(dict(f))
 
-    def scores(self, x: np.ndarray, sizes: list[int]) -> np.ndarray:
-        """Probability of boilerplate for the blocks of pages laid end to end; ``sizes`` has each page's number of blocks."""
-        out = np.zeros(len(x), np.float32)
-        if not len(x):
+    def projected(self, x: np.ndarray) -> np.ndarray:
+        """What the gates of both directions take from blocks' vectors."""
+        return np.stack([x @ self.a["wx"][d] + self.a["b"][d] for d in range(2)])
+
+    def label(self, blocks: list[tuple[list[str], str]], sizes: list[int], vectors: Vectors) -> np.ndarray:
+        parts = [self.projected(vectors.matrix(blocks[i : i + _VECTORS])) for i in range(0, len(blocks), _VECTORS)]
+        return self.scores(np.concatenate(parts, axis=1) if parts else np.zeros((2, 0, 4 * HIDDEN), np.float32), sizes)
+
+    def scores(self, inputs: np.ndarray, sizes: list[int]) -> np.ndarray:
+        """Probability of boilerplate for the projected blocks of pages laid end to end; ``sizes`` has each page's number of blocks."""
+        count = inputs.shape[1]
+        out = np.zeros(count, np.float32)
+        if not count:
             return out
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
         lengths = np.array(sizes, np.int64)
@@ -131,14 +142,13 @@ class BlockLabeller:
         lengths, starts = lengths[order], starts[order]
         hidden = []
         for d in range(2):
-            inputs = x @ self.a["wx"][d] + self.a["b"][d]
-            states = np.zeros((len(x), HIDDEN), np.float32)
+            states = np.zeros((count, HIDDEN), np.float32)
             h = np.zeros((len(lengths), HIDDEN), np.float32)
             c = np.zeros_like(h)
             for t in range(int(lengths[0])):
                 n = int(np.searchsorted(-lengths, -t, side="left"))  # pages longer than t come first
                 at = starts[:n] + (t if d == 0 else lengths[:n] - 1 - t)
-                z = inputs[at] + h[:n] @ self.a["wh"][d]
+                z = inputs[d][at] + h[:n] @ self.a["wh"][d]
                 i, f, o = (_sigmoid(z[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3))
                 g = np.tanh(z[:, 3 * HIDDEN :])
                 c[:n] = f * c[:n] + i * g
@@ -169,7 +179,7 @@ def _label(batches: Iterator[pd.DataFrame], labeller: BlockLabeller, keys: list[
             pdf = whole.iloc[at : at + _SLICE]
             pages = [text_blocks(t) for t in pdf["_text"]]
             sizes = [len(n) for n, _ in pages]
-            p = labeller.scores(vectors.matrix([b for _, blocks in pages for b in blocks]), sizes)
+            p = labeller.label([b for _, blocks in pages for b in blocks], sizes, vectors)
             out = pdf[keys].iloc[np.repeat(np.arange(len(pdf)), sizes)].reset_index(drop=True)
             yield out.assign(line_no=np.array([k for n, _ in pages for k in n], "int32"), boilerplate=p.astype("float64"))
 
@@ -204,7 +214,7 @@ def main_text(df: DataFrame, text: str, keep: list[str], threshold: float = 0.5,
                 pdf = whole.iloc[at : at + _SLICE]
                 pages = [text_blocks(t or "") for t in pdf["_text"]]
                 sizes = [len(n) for n, _ in pages]
-                drop = labeller.scores(vectors.matrix([b for _, blocks in pages for b in blocks]), sizes) >= threshold
+                drop = labeller.label([b for _, blocks in pages for b in blocks], sizes, vectors) >= threshold
                 texts, k = [], 0
                 for t, (numbers, _) in zip(pdf["_text"], pages):
                     bad = {n for n, d in zip(numbers, drop[k : k + len(numbers)]) if d}

@@ -64,7 +64,8 @@ def test_labeller_agrees_with_teacher(spark):
     chunks = pd.read_parquet(DATA / "chunks.parquet", columns=["chunk_id", "chunk_asset_id", "chunk_text"])
     texts = chunks[chunks.chunk_asset_id.isin(assets.asset_id[assets.asset_type == "url"])].chunk_text.tolist()
     pages = block_training.labelled_pages(texts)
-    p = main_content.BlockLabeller.load().scores(np.concatenate([x for x, _ in pages]), [len(y) for _, y in pages]) >= 0.5
+    labeller = main_content.BlockLabeller.load()
+    p = labeller.scores(labeller.projected(np.concatenate([x for x, _ in pages])), [len(y) for _, y in pages]) >= 0.5
     y = np.concatenate([y for _, y in pages]) > 0
     assert len(y) > 200 and np.mean(p == y) >= 0.97
 
@@ -89,8 +90,8 @@ def test_one_page_at_a_time_is_the_same():
     labeller, vectors = main_content.BlockLabeller.load(), main_content.Vectors()
     texts = ["Home | Docs | Blog\n\nA sentence about the pump that was replaced last week.\nCopyright 2026 Example", "Accept all\n- one", "One line only."]
     pages = [main_content.text_blocks(t)[1] for t in texts]
-    together = labeller.scores(vectors.matrix([b for p in pages for b in p]), [len(p) for p in pages])
-    alone = np.concatenate([labeller.scores(vectors.matrix(p), [len(p)]) for p in pages])
+    together = labeller.label([b for p in pages for b in p], [len(p) for p in pages], vectors)
+    alone = np.concatenate([labeller.label(p, [len(p)], vectors) for p in pages])
     assert np.allclose(together, alone, atol=1e-5)
 
 

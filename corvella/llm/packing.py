@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import bisect
 import os
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -100,21 +101,24 @@ def pack(items: DataFrame, capacities: DataFrame) -> DataFrame:
     counts: dict[object, dict[int, int]] = {k: {} for k, _ in kinds}
     for r in histogram.collect():
         counts[r.bin_kind][r.size] = r.n
-    slots, used = [], []
+    slots, used, stretches = [], [], {}
     for kind, capacity in kinds:
         planned, n = plan(counts[kind], capacity)
-        slots += [(kind, *s) for s in planned]
         used.append((kind, n))
-    plan_rows = spark.createDataFrame(slots, f"bin_kind {kind_type}, size int, first long, last long, container long, each int")
-    parts = spark.createDataFrame([(k, s, 1 + n // RANKED) for k, by in counts.items() for s, n in by.items()], f"bin_kind {kind_type}, size int, parts int")
+        slots_of = Counter(s[0] for s in planned)
+        widths = {size: max(1, counts[kind][size] // m) for size, m in slots_of.items()}
+        # a slot stands under each stretch of ranks that it touches, so that a rank meets about two slots of its stretch
+        slots += [(kind, *s, stretch) for s in planned for stretch in range(s[1] // widths[s[0]], s[2] // widths[s[0]] + 1)]
+        stretches.update({(kind, size): w for size, w in widths.items()})
+    plan_rows = spark.createDataFrame(slots, f"bin_kind {kind_type}, size int, first long, last long, container long, each int, stretch long")
+    parts = spark.createDataFrame([(k, s, 1 + n // RANKED, stretches[k, s]) for k, by in counts.items() for s, n in by.items()], f"bin_kind {kind_type}, size int, parts int, width long")
     # ranks within a length: places inside a part of it, after the sizes of the parts before
-    placed = rest.join(F.broadcast(parts), ["bin_kind", "size"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).select("bin_kind", "key", "piece_no", "size", "part", "capacity")
+    placed = rest.join(F.broadcast(parts), ["bin_kind", "size"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).select("bin_kind", "key", "piece_no", "size", "part", "capacity", "width")
     ahead = Window.partitionBy("bin_kind", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("bin_kind", "size", "part").agg(F.count("*").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
     inside = Window.partitionBy("bin_kind", "size", "part").orderBy("key")
     ranked = placed.withColumn("place", F.row_number().over(inside) - 1).join(offsets, ["bin_kind", "size", "part"]).withColumn("rank", F.col("ahead") + F.col("place"))
-    # slots are few for a length (a run is opened or used up by each), so the range join meets few rows a key
-    found = ranked.join(F.broadcast(plan_rows), ["bin_kind", "size"]).where(F.col("rank").between(F.col("first"), F.col("last")))
+    found = ranked.withColumn("stretch", F.floor(F.col("rank") / F.col("width"))).join(F.broadcast(plan_rows), ["bin_kind", "size", "stretch"]).where(F.col("rank").between(F.col("first"), F.col("last")))
     start = ((F.col("piece_no") - 1) * F.col("capacity")).cast("long")
     packed = found.select("bin_kind", "key", "piece_no", start.alias("start_at"), "size", (F.col("container") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))).alias("container_no"))
     # full pieces, numbered after the planned containers

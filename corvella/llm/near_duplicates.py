@@ -193,7 +193,7 @@ def class_links(df: DataFrame, key: str, text: str, width: int = 5, threshold: f
     members = sketches.select("key", "owner", "same")
     if only:
         members = members.join(only[1].select(F.col(only[0]).alias("owner")), "owner", "left_semi")
-    members = members.select("key", "same").distinct()
+    members = materialise(members.select("key", "same").distinct(), "members")
     pairs = materialise(candidates(sketches, threshold), "candidates")
     # registers decide first, then the texts; of both only the rows that some pair needs are moved
     ends = pairs.select(F.explode(F.array("same_a", "same_b")).alias("same")).distinct()
@@ -222,7 +222,7 @@ def class_links(df: DataFrame, key: str, text: str, width: int = 5, threshold: f
             sure = pdf[["same_a", "same_b"]].assign(similarity=[_jaccard(a, b, width) for a, b in zip(pdf["ta"], pdf["tb"])])
             yield sure[sure["similarity"] >= threshold]
 
-    links = both.mapInPandas(verify, "same_a bigint, same_b bigint, similarity double")
+    links = materialise(both.mapInPandas(verify, "same_a bigint, same_b bigint, similarity double"), "links")
     return links, members
 
 

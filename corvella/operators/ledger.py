@@ -17,7 +17,10 @@ def _seconds(time: Column) -> Column:
 
 
 def args_hash(task_name: Column, args: dict[str, Column]) -> Column:
-    """SHA-256 of the arguments and the task's name as JSON with sorted keys and a space after each mark; strings of plain characters."""
+    """SHA-256 of the arguments and the task's name as JSON with sorted keys and a space after each mark.
+
+    The name is a string of plain characters; arguments are numbers or null.
+    """
     parts = []
     for k, v in sorted({**args, "task_name": task_name}.items()):
         text = F.when(v.isNull(), F.lit("null"))

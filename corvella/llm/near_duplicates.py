@@ -84,8 +84,17 @@ def _fold(regs: np.ndarray) -> np.ndarray:
     return np.packbits(one, axis=1).view(">i8").astype(np.int64)[:, 0]
 
 
+def _different(shingles: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+    """Number of different shingles of each text; ``owner`` ascends."""
+    order = np.argsort(shingles, kind="stable")  # equal shingles of one text come to lie side by side
+    code, whose = shingles[order], owner[order]
+    fresh = np.ones(len(code), bool)
+    fresh[1:] = (code[1:] != code[:-1]) | (whose[1:] != whose[:-1])
+    return np.bincount(whose[fresh], minlength=texts)
+
+
 def sketch(df: DataFrame, key: str, text: str, width: int, least_words: int, owner: str | None = None) -> DataFrame:
-    """key, owner, same (a number that equal word sequences share), n (shingles), fold, bands (registers, four packed in each).
+    """key, owner, same (a number that equal word sequences share), n (different shingles), fold, bands (registers, four packed in each).
 
     Of a class of equal texts a task sends the registers once; the other rows have null bands.  Texts of fewer than
     ``least_words`` words, or fewer than ``width``, and null texts are left out.
@@ -119,7 +128,7 @@ def sketch(df: DataFrame, key: str, text: str, width: int, least_words: int, own
                 regs = registers(shingles, whose, len(fresh))
                 packed = np.ascontiguousarray(regs).view("<i8").reshape(len(fresh), BANDS)
                 n, fold, bands = np.zeros(len(keys), "int32"), np.zeros(len(keys), "int64"), np.full(len(keys), None, object)
-                n[fresh], fold[fresh] = np.bincount(whose, minlength=len(fresh)), _fold(regs)
+                n[fresh], fold[fresh] = _different(shingles, whose, len(fresh)), _fold(regs)
                 for i, row in zip(fresh, packed):
                     bands[i] = row
                 yield pd.DataFrame({"key": keys, "owner": owners, "same": same, "n": n, "fold": fold, "bands": bands})
@@ -160,8 +169,8 @@ def candidates(sketches: DataFrame, threshold: float) -> DataFrame:
     right = met.withColumn("mine", own).select("slot", "same", "n", "fold", F.explode(every).alias("x"), F.col("mine").alias("y"))
     a, b = left.alias("a"), right.alias("b")
     alike = F.lit(64) - F.bit_count(F.col("a.fold").bitwiseXOR(F.col("b.fold")))
-    # n counts repeated shingles too, hence the slack of a quarter
-    sized = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold * 0.75)
+    # a bound, not a guess: two sets are never more alike than the smaller's share of the larger (a quotient, rounded as the similarity is)
+    sized = F.least("a.n", "b.n") / F.greatest("a.n", "b.n") >= F.lit(threshold)
     tile = (F.col("a.slot") == F.col("b.slot")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y"))
     on = tile & (F.col("a.same") < F.col("b.same")) & sized & (alike >= _fold_floor(threshold))
     return a.join(b, on).select(F.col("a.same").alias("same_a"), F.col("b.same").alias("same_b")).distinct()

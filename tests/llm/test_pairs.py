@@ -175,3 +175,13 @@ def test_hot_slots_are_cut_into_tiles(spark, texts, monkeypatch):
     got = {tuple(r) for r in nd.near_duplicate_pairs(df, "id", "body", width=3, threshold=0.6).collect()}
     want = brute(texts, 3, 0.6)
     assert got <= want and len(got & want) >= 0.99 * len(want)
+
+
+def test_texts_repeated_in_themselves_stay_linked(spark):
+    rng = random.Random(7)
+    bases = [" ".join(rng.sample(NOUNS, 60)) for _ in range(6)]
+    # at five words 56 and 60 different shingles, at three words 58 and 60, however often the text is repeated
+    df = spark.createDataFrame([(10 * i + k, " ".join([t] * k)) for i, t in enumerate(bases) for k in (1, 2, 3)], "id int, body string")
+    want = {(10 * i + a, 10 * i + b) for i in range(6) for a, b in combinations((1, 2, 3), 2)}
+    assert {tuple(r) for r in nd.near_duplicate_pairs(df, "id", "body", width=3, threshold=0.6).collect()} == want
+    assert {r.key: r.links for r in nd.near_duplicate_groups(df, "id", "body").collect()} == {10 * i + k: 2 for i in range(6) for k in (1, 2, 3)}

@@ -13,6 +13,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import partial
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,6 +25,8 @@ LEAST_SEEN, LEXICON_SIZE = 5, 200_000
 CONFUSED, SELDOM_CONFUSED, SIGN_CONFUSED, SPACE_PRICE, UNKNOWN_LETTER = 3.0, 6.0, 2.0, 3.0, 4.0
 MOST_CONFUSED, LONGEST_WORD = 3, 32
 _CACHE = 300_000
+#: Lengths of the word beginnings that a reading is held against on its way.
+HEADS = (3, 4, 6, 8, 11, 15, 20)
 
 # What is read (left) for what was printed (right).
 USUAL = [
@@ -47,6 +50,7 @@ _CUT = re.compile(rf"\S*[^\W\d_][{HYPHENS}][ \t]*\r?\n[ \t]*\S+")
 _EDGE = "\"'.,;:?!()[]{}<>«»„“”‘’‚*#|/\\–—-…،؛؟¿¡=&%"
 _EDGE_SOFT = _EDGE.replace("!", "").replace("|", "")
 _NUMBER = r"(?:\d{1,5}|(?=[ivxlcdm])m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))"
+_ROMAN = re.compile(r"m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
 _PAGE_NO = re.compile(rf"^(?:[-–—\[(|·•~]\s*)?(?:(?:page|p\.?|pg\.?|seite|s\.|página|pág\.?|pagina|blatt|صفحة|ص\.?)\s*)?{_NUMBER}(?:\s+(?:/|of|von|de|sur|من)\s+\d{{1,5}})?(?:\s*[-–—\])|·•~])?\.?$", re.IGNORECASE)
 _BESIDE = re.compile(r"\s{2,}|\t|\s[|·•]\s")
 
@@ -80,7 +84,7 @@ class Decoder:
         self.cost = {w: -math.log(n / total) for w, n in counts.items()}
         self.unseen = -math.log(0.5 / total)
         self.memory: dict[str, tuple[str, int] | None] = {}
-        self.heads = {w[:3] for w in counts} | {w[:6] for w in counts}  # readings that begin like no word are given up early
+        self.heads = {w[:k] for k in HEADS for w in counts}  # readings that begin like no word are given up early
 
     def _variants(self, token: str) -> Iterator[tuple[str, float, int]]:
         """What may have been printed, the price, and the number of confusions (1 or more)."""
@@ -118,27 +122,62 @@ class Decoder:
         self.memory[token] = best and (best[1], best[2])
         return best[1] if best else None
 
-    def segmented(self, stream: str) -> list[str] | None:
-        """Words of a stream without spaces (lower case), each of the lexicon as read or with confusions; None if it has no such reading."""
-        n = len(stream)
-        best: list[tuple[float, int, str]] = [(0.0, 0, "")] + [(math.inf, 0, "")] * n
+    def _readings(self, stream: str, at: int) -> Iterator[tuple[int, str, float, int]]:
+        """Words that may begin at ``at``: the end of what was read, the word, its cost with the confusions' price, their number."""
+        stack = [("", at, 0.0, 0)]
+        while stack:
+            done, i, price, n = stack.pop()
+            own = self.cost.get(done)
+            if own is not None and (not n or len(done) >= (2 if any(c in _SIGNS for c in stream[at:i]) else 3)):
+                yield i, done, own + price, n
+            if i == len(stream) or len(done) >= LONGEST_WORD:
+                continue
+            steps = [(stream[i], 1, 0.0, 0)]
+            if n < MOST_CONFUSED and (n < 2 or i - at < 16):
+                steps += [(true, len(seen), more * (1 + n * 0.5), 1) for seen, true, more in _BY_FIRST.get(stream[i], ()) if stream.startswith(seen, i)]
+            for true, length, more, k in steps:
+                word = done + true
+                if all(word[:h] in self.heads for h in HEADS if len(done) < h <= len(word)):
+                    stack.append((word, i + length, price + more, n + k))
+
+    def decoded(self, tokens: tuple[str, ...]) -> list[tuple[int, int, str | None, int]]:
+        """Cheapest reading of a stream of tokens (lower case): begin and end in the joined stream, the word (None: a token left as read), its confusions.
+
+        A word may take in spaces that were read and may end where none was, each at SPACE_PRICE; a token may also stand as no known word.
+        """
+        stream, bounds = "".join(tokens), [0]
+        for t in tokens:
+            bounds.append(bounds[-1] + len(t))
+        ends, n = dict(zip(bounds, bounds[1:])), len(stream)
+        inner = [0] * (n + 1)  # spaces read before each place
+        for x in bounds[1:-1]:
+            inner[x] = 1
+        spaces = list(accumulate(inner))
+        best: list[tuple[float, int, str | None, int]] = [(0.0, 0, None, 0)] + [(math.inf, 0, None, 0)] * n
         for i in range(n):
-            if best[i][0] == math.inf:
+            sofar = best[i][0]
+            if sofar == math.inf:
                 continue
-            for j in range(i + 2, min(n, i + LONGEST_WORD) + 1):
-                part = stream[i:j]
-                word = part if part in self.cost else self.corrected(part) if j - i >= 4 else None
-                if word is not None:
-                    price = best[i][0] + self.cost[word] + (SELDOM_CONFUSED if word != part else 0) + (SPACE_PRICE if i else 0)
-                    if price < best[j][0]:
-                        best[j] = (price, i, word)
-        if best[n][0] >= self.unseen + UNKNOWN_LETTER * n:
-            return None
-        words, at = [], n
+            if i in ends:
+                j = ends[i]
+                price = sofar + self.unseen + (0 if _ROMAN.match(stream[i:j]) else UNKNOWN_LETTER * (j - i))
+                if price < best[j][0]:
+                    best[j] = (price, i, None, 0)
+            for j, word, cost, k in self._readings(stream, i):
+                price = sofar + cost + SPACE_PRICE * (spaces[j - 1] - spaces[i]) + (0 if inner[j] or j == n else SPACE_PRICE)
+                if price < best[j][0]:
+                    best[j] = (price, i, word, k)
+        path, at = [], n
         while at:
-            words.append(best[at][2])
-            at = best[at][1]
-        return words[::-1]
+            _, i, word, k = best[at]
+            path.append((i, at, word, k))
+            at = i
+        return path[::-1]
+
+    def segmented(self, stream: str) -> list[str] | None:
+        """Words of a stream without spaces (lower case), each of the lexicon as read or with confusions; None if it is best left as read."""
+        words = [word for _, _, word, _ in self.decoded((stream,))]
+        return None if None in words else words
 
 
 def _core(token: str) -> tuple[str, str, str]:
@@ -165,6 +204,8 @@ class PageReader:
         self.decoder = Decoder(counts)
         self.known = counts
         self.answers: dict[str, tuple[str, bool]] = {}
+        self.kinds: dict[str, tuple[str, str, str, bool, bool]] = {}
+        self.paths: dict[tuple[str, ...], list[tuple[int, int, str | None, int]]] = {}
 
     def token(self, token: str) -> tuple[str, bool]:
         """The token put right, and whether it had a misread character; answers are remembered."""
@@ -252,9 +293,11 @@ class PageReader:
         found: set[str] = set()
         lines = text.split("\n")
         carried = False  # whether the line's first token belongs to a word cut in the line before
+        streams: list[list[str]] = [[]]  # the page's tokens without its line ends, from one blank line to the next
         for line, following in zip(lines, [*lines[1:], ""]):
             tokens = line.split()
             if not tokens:
+                streams.append([])
                 continue
             last = tokens[-1]
             if carried:
@@ -266,13 +309,11 @@ class PageReader:
                     whole, cut = self.joint(last[:-1], last[-1], right)
                     if cut:
                         found.add("hyphen_break")
-                    if "misread" not in found and self.token(whole)[1]:
-                        found.add("misread")
-                    tokens = tokens[:-1]
+                    tokens = [*tokens[:-1], whole]
                     carried = True
-            if "misread" not in found:
-                if any(self.token(t)[1] for t in tokens):
-                    found.add("misread")
+            streams[-1] += tokens
+        if any(wrong for stream in streams for _, wrong in self.decode(stream)):
+            found.add("misread")
         return found
 
     def repaired(self, text: str, headings: set[str]) -> str:
@@ -327,6 +368,61 @@ class PageReader:
             i += 1
         return out
 
+    def _plain(self, token: str) -> tuple[str, str, str, bool, bool]:
+        """What comes before the token's word, the word, what comes after, whether it can be part of a stream, and whether the corpus does not know it."""
+        found = self.kinds.get(token)
+        if found is None:
+            if len(self.kinds) > _CACHE:
+                self.kinds.clear()
+            before, word, after = _core(token)
+            fits = 0 < len(word) <= 3 * LONGEST_WORD and any(c.isalpha() for c in word) and all(c.isalpha() or c in _SIGNS for c in word) and not _CODE.match(word)
+            strange = fits and word.lower() not in self.known
+            soft = token.strip(_EDGE_SOFT)
+            if strange and soft != word and self.decoder.corrected(soft.lower()):  # a sign at the word's edge is a letter: token() sees to it
+                fits = strange = False
+            found = self.kinds[token] = (before, word, after, fits, strange)
+        return found
+
+    def decode(self, tokens: list[str]) -> Iterator[tuple[str, bool]]:
+        """A paragraph's tokens put right, and whether each had a misread character.
+
+        Runs of unknown tokens are decoded as one stream with the known ones beside them; where the best path has words other than the tokens, its
+        words come out, and elsewhere each token by itself.
+        """
+        kinds = [self._plain(t) for t in tokens]
+        i = 0
+        while i < len(tokens):
+            # a known token opens a stream if an unknown one follows it directly
+            j = i
+            if kinds[i][3]:
+                while j + 1 < len(tokens) and (kinds[j][4] or kinds[j + 1][4]) and kinds[j + 1][3] and not kinds[j][2] and not kinds[j + 1][0]:
+                    j += 1
+            if not any(k[4] for k in kinds[i : j + 1]):
+                yield self.token(tokens[i])
+                i += 1
+                continue
+            yield from self._decoded(tokens[i : j + 1], kinds[i : j + 1])
+            i = j + 1
+
+    def _decoded(self, tokens: list[str], kinds: list[tuple[str, str, str, bool, bool]]) -> Iterator[tuple[str, bool]]:
+        words = [k[1] for k in kinds]
+        key = tuple(w.lower() for w in words)
+        path = self.paths.get(key)
+        if path is None:
+            if len(self.paths) > _CACHE:
+                self.paths.clear()
+            path = self.paths[key] = self.decoder.decoded(key)
+        whole, bounds = "".join(words), {0: 0}
+        for k, w in enumerate(words):
+            bounds[max(bounds) + len(w)] = k + 1
+        for at, end, word, confused in path:
+            if at in bounds and bounds.get(end) == bounds[at] + 1:  # a token by itself
+                yield self.token(tokens[bounds[at]])
+            else:
+                before = kinds[bounds[at]][0] if at in bounds else ""
+                after = kinds[bounds[end] - 1][2] if end in bounds else ""
+                yield before + _as_case(word or "", whole[at:end]) + after, confused > 0
+
 
 def _folded(text: str) -> str:
     """A heading's key: the same for other case, other spacing and the usual misreadings."""

@@ -147,6 +147,14 @@ def test_split_and_merged_words(reader):
     assert reader.repaired("the pu mp was thepump", set()) == "the pump was the pump"
 
 
+JOINT = {w: 5000 for w in "the pump was replaced before of to a information inform together world old".split()}
+
+
+@pytest.mark.parametrize(("text", "defects"), [("the ofthc pump", {"misread"}), ("the vvo rld was", {"misread"}), ("the\nofthc pump", {"misread"}), ("the pu mp was thepump", set()), ("old Kovacs of cxlv", set())])
+def test_defects_are_edits_of_the_joint_decoding(text, defects):
+    assert scan_repair.PageReader(JOINT).defects(text) == defects
+
+
 @pytest.mark.parametrize(
     ("line", "kind"),
     [("Page 12", "number"), ("— 9 —", "number"), ("xxxv", "number"), ("3 / 14", "number"), ("[7]", "number"), ("ACME 5/2023", "head"), ("ACME 5/2023   - 7 -", "both"), ("The pump was replaced.", "text"), ("12   ACME REPORT", "both")],

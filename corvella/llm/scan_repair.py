@@ -338,35 +338,17 @@ class PageReader:
                 out.append([])
             tokens = line.split()
             if held and tokens:
-                out[-1].append(self.token(self.joint(held[0], held[1], tokens[0])[0])[0])
+                out[-1].append(self.joint(held[0], held[1], tokens[0])[0])
                 tokens = tokens[1:]
                 held = None
             if tokens and len(tokens[-1]) > 1 and tokens[-1][-1] in HYPHENS and i + 1 < len(kept) and kept[i + 1].strip() and kept[i + 1].split()[0][0].isalnum():
                 held = (tokens[-1][:-1], tokens[-1][-1])
                 tokens = tokens[:-1]
-            out[-1] += self._line(tokens)
-        if held:
-            out[-1].append(held[0] + held[1])
-        return "\n\n".join(" ".join(p) for p in out if p)
-
-    def _line(self, tokens: list[str]) -> list[str]:
-        """Tokens put right; unknown neighbours are tried as one stream, for spaces put in or left out."""
-        fixed = [self.token(t) for t in tokens]
-        strange = [bool(w := _core(f[0])[1]) and w.isalpha() and w.islower() and w not in self.known for f in fixed]
-        out, i = [], 0
-        while i < len(fixed):
-            if strange[i] and len(_core(fixed[i][0])[1]) >= 4 or (strange[i] and i + 1 < len(fixed) and strange[i + 1]):
-                span = 2 if i + 1 < len(fixed) and strange[i + 1] else 1
-                stream = "".join(_core(f[0])[1] for f in fixed[i : i + span])
-                words = self.decoder.segmented(stream)
-                if words and (span == 2 or len(words) > 1):
-                    before, after = _core(fixed[i][0])[0], _core(fixed[i + span - 1][0])[2]
-                    out.append(before + " ".join(words) + after)
-                    i += span
-                    continue
-            out.append(fixed[i][0])
-            i += 1
-        return out
+            out[-1] += tokens
+        rest = [held[0] + held[1]] if held else []
+        paragraphs = [[t for t, _ in self.decode(p)] for p in out]
+        paragraphs[-1] += rest
+        return "\n\n".join(" ".join(p) for p in paragraphs if p)
 
     def _plain(self, token: str) -> tuple[str, str, str, bool, bool]:
         """What comes before the token's word, the word, what comes after, whether it can be part of a stream, and whether the corpus does not know it."""

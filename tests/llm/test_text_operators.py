@@ -155,6 +155,17 @@ def test_defects_are_edits_of_the_joint_decoding(text, defects):
     assert scan_repair.PageReader(JOINT).defects(text) == defects
 
 
+@pytest.mark.parametrize(
+    ("text", "whole"),
+    [
+        ("the inform ation was", "the information was"), ("to gether", "together"), ("the inf orma tion was", "the information was"), ("the inform\nation was", "the information was"), ("the pump wasre\nplaced", "the pump was replaced"),
+        ("Thepump was apump", "The pump was a pump"), ("before thepump, ofthc.", "before the pump, of the."), ("old Kovacs of cxlv", "old Kovacs of cxlv"),
+    ],
+)
+def test_pages_are_decoded_across_tokens_and_lines(text, whole):
+    assert scan_repair.PageReader(JOINT).repaired(text, set()) == whole
+
+
 @pytest.mark.parametrize(
     ("line", "kind"),
     [("Page 12", "number"), ("— 9 —", "number"), ("xxxv", "number"), ("3 / 14", "number"), ("[7]", "number"), ("ACME 5/2023", "head"), ("ACME 5/2023   - 7 -", "both"), ("The pump was replaced.", "text"), ("12   ACME REPORT", "both")],

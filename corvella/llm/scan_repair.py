@@ -8,18 +8,29 @@ Readable paragraphs come from a dynamic program over the lines' break costs.
 
 from __future__ import annotations
 
+import atexit
 import math
+import mmap
 import re
+import shutil
+import tempfile
+import uuid
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from contextlib import ExitStack
 from functools import partial
 from itertools import accumulate
 
 import pandas as pd
+import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The lexicon keeps words seen in at least LEAST_SEEN places, and of these the LEXICON_SIZE most frequent; the driver and each worker hold it.
+from corvella.runtime import materialise
+
+#: The lexicon has the words seen in at least LEAST_SEEN places.  The driver and each worker hold the LEXICON_SIZE most frequent; where there are more, all lie in files (WordFiles).
 LEAST_SEEN, LEXICON_SIZE = 5, 200_000
 #: Prices in natural logarithms: a usual and an unusual confusion of letters, a confused sign inside a word, a space put in or left out, an unknown letter.
 CONFUSED, SELDOM_CONFUSED, SIGN_CONFUSED, SPACE_PRICE, UNKNOWN_LETTER = 3.0, 6.0, 2.0, 3.0, 4.0
@@ -68,11 +79,102 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(seen.items(), columns=["word", "n"])
 
 
+class WordFiles:
+    """Files on every node with all words' hashes (64 bits, sorted), their counts, and the hashes of all words' beginnings; a worker maps them into memory."""
+
+    opened: dict[str, memoryview] = {}
+
+    @classmethod
+    def numbers(cls, file: str) -> memoryview:
+        if file not in cls.opened:
+            with open(SparkFiles.get(file), "rb") as f:
+                cls.opened[file] = memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)).cast("q")
+        return cls.opened[file]
+
+    @classmethod
+    def place(cls, file: str, text: str) -> int | None:
+        numbers, h = cls.numbers(file), xxhash.xxh64_intdigest(text, 42)  # as Spark's xxhash64
+        h -= (h >> 63) << 64
+        at = bisect_left(numbers, h)
+        return at if at < len(numbers) and numbers[at] == h else None
+
+    @staticmethod
+    def spread(rows: DataFrame, name: str, *columns: str) -> None:
+        """Send the 64-bit columns of the sorted rows to all nodes, a file each; the driver holds one partition at a time."""
+
+        def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame({c: [pdf[c].to_numpy("<i8").tobytes()] for c in columns})
+
+        folder = tempfile.mkdtemp(prefix="corvella-words-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)  # nodes may fetch the files at any time until then
+        with ExitStack() as stack:
+            files = {c: stack.enter_context(open(f"{folder}/{name}-{c}", "wb")) for c in columns}
+            for r in rows.mapInPandas(packed, ", ".join(f"{c} binary" for c in columns)).toLocalIterator():
+                for c in columns:
+                    files[c].write(r[c])
+        for c in columns:
+            rows.sparkSession.sparkContext.addFile(f"{folder}/{name}-{c}")
+
+
+class Words(dict):
+    """Counts of all words: the frequent ones are held (and listed), the others looked up in the files."""
+
+    def __init__(self, head: dict[str, int], name: str, total: int) -> None:
+        super().__init__(head)
+        self.name, self.total = name, total
+
+    def __missing__(self, word: str) -> int:
+        at = WordFiles.place(f"{self.name}-word", word)
+        if at is None:
+            raise KeyError(word)
+        return WordFiles.numbers(f"{self.name}-n")[at]
+
+    def get(self, word: str, default: int | None = None) -> int | None:
+        try:
+            return self[word]
+        except KeyError:
+            return default
+
+    def __contains__(self, word: object) -> bool:
+        return self.get(word) is not None
+
+
+class _Prices(Words):
+    """Negative logarithms of the words' shares."""
+
+    def __missing__(self, word: str) -> float:
+        return -math.log(super().__missing__(word) / self.total)
+
+
+class _Beginnings(set):
+    """The beginnings of the frequent words, then those in the file."""
+
+    def __init__(self, head: set[str], name: str) -> None:
+        super().__init__(head)
+        self.name = name
+
+    def __contains__(self, text: object) -> bool:
+        return super().__contains__(text) or WordFiles.place(f"{self.name}-head", text) is not None
+
+
 def lexicon(df: DataFrame, text: str) -> dict[str, int]:
-    """Counts of the corpus's words, compounds with their hyphens among them; words cut at line ends are left out."""
+    """Counts of the corpus's words, compounds with their hyphens among them; words cut at line ends are left out.
+
+    Beyond LEXICON_SIZE words the result is a ``Words``: it lists the most frequent and looks all others up.
+    """
     source = df.select(F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull())
     counts = source.mapInPandas(_count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_SEEN)
-    return {r.word: r.n for r in counts.orderBy(F.desc("n"), "word").limit(LEXICON_SIZE).collect()}
+    counts = materialise(counts, "words")
+    rows = counts.orderBy(F.desc("n"), "word").limit(LEXICON_SIZE + 1).collect()
+    head = {r.word: r.n for r in rows[:LEXICON_SIZE]}
+    if len(rows) <= LEXICON_SIZE:
+        return head
+    name = f"words-{uuid.uuid4().hex}"
+    WordFiles.spread(counts.groupBy(F.xxhash64("word").alias("word")).agg(F.sum("n").alias("n")).orderBy("word"), name, "word", "n")
+    heads = counts.select(F.explode(F.array(*[F.substring("word", 1, k) for k in HEADS])).alias("head")).select(F.xxhash64("head").alias("head")).distinct()
+    WordFiles.spread(heads.orderBy("head"), name, "head")
+    return Words(head, name, counts.agg(F.sum("n")).first()[0])
 
 
 class Decoder:
@@ -80,11 +182,13 @@ class Decoder:
 
     def __init__(self, counts: dict[str, int]) -> None:
         self.counts = counts
-        total = sum(counts.values()) or 1
+        total = counts.total if isinstance(counts, Words) else sum(counts.values()) or 1
         self.cost = {w: -math.log(n / total) for w, n in counts.items()}
         self.unseen = -math.log(0.5 / total)
         self.memory: dict[str, tuple[str, int] | None] = {}
         self.heads = {w[:k] for k in HEADS for w in counts}  # readings that begin like no word are given up early
+        if isinstance(counts, Words):
+            self.cost, self.heads = _Prices(self.cost, counts.name, total), _Beginnings(self.heads, counts.name)
 
     def _variants(self, token: str) -> Iterator[tuple[str, float, int]]:
         """What may have been printed, the price, and the number of confusions (1 or more)."""

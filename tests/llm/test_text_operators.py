@@ -195,6 +195,21 @@ def test_lexicon_leaves_cut_words_out(spark):
     assert scan_repair.lexicon(df, "t") == {"a": 6, "well-kept": 6}
 
 
+def test_lexicon_has_all_words(spark, monkeypatch):
+    text = "the the the pump was translate bücherwurm مضخة"
+    df = spark.createDataFrame([(text,)] * 6 + [("once",)], "t string")
+    whole = scan_repair.lexicon(df, "t")
+    monkeypatch.setattr(scan_repair, "LEXICON_SIZE", 2)
+    counts = scan_repair.lexicon(df, "t")
+    assert len(counts) == 2 and {w: counts.get(w) for w in whole} == whole and "once" not in counts
+    few, every = scan_repair.Decoder(counts), scan_repair.Decoder(whole)
+    for token in ("trans1ate", "vvas", "tbe", "pump", "bücherwunn", "xyz"):
+        assert few.corrected(token) == every.corrected(token)
+    pages = spark.createDataFrame([(1, 1, "the trans1ate pump"), (2, 1, "the pump was"), (3, 1, "was trans-\nlate")], "id int, asset int, body string")
+    marks = scan_repair.scan_marks(pages, "id", "asset", "body", counts)
+    assert {(r.key, r.defect) for r in scan_repair.page_defects(marks).where("defect <> 'running_header'").collect()} == {(1, "misread"), (3, "hyphen_break")}
+
+
 def test_paragraph_breaks():
     lines = ["First sentence goes on and", "on until here.", "", "Second one starts here and is", "long too."]
     assert scan_repair.paragraph_breaks(lines) == {0, 3}

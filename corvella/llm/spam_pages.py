@@ -2,181 +2,258 @@
 
 A page is cut into segments: its lines, long ones at sentence ends and then every forty words.  A hidden Markov model with the
 states prose, link list, tag list and menu labels them: emissions are independent chances of what a segment shows
-(share of links, separators, function words, repetition and so on), transitions favour staying.  A page is
-flagged when the words of its segments outside prose reach a share of all.
+(links, separators, function words, repetition and so on), transitions and starts are chances of their own.  All of them, and the
+function words, are in models/spam.npz, fitted by ``spam_training``.  A page is flagged when the words of its segments outside prose reach a share of all.
+
+A batch of pages is read by one tokenisation; what its segments show is counted by sorting and summing over all its tokens at once.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import partial
+from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvella.llm.words import WORD, mix
+
 STATES = ("prose", "link_list", "tag_list", "menu")
-STAY = 0.85
-SEGMENT_WORDS = 40
+SEGMENT_WORDS, LINKS_APART = 40, 3
 FLAG_SHARE = 0.5
-#: A page of fewer words is too short for a list.
-LEAST_WORDS = 8
+MODEL = Path(__file__).parent / "models" / "spam.npz"
+#: Pages and characters that are read at a time.
+_SLICE, _SLICE_CHARS = 2_000, 4_000_000
+_SEEN_LIMIT = 500_000
 
-_WORD = re.compile(r"[^\W_]+")
+# one pattern finds all that is counted: words, ends of segments, separators, and signs before tags
+_TOKEN = re.compile(r"[^\W_]+|\n|[,;|\t]|(?<=\s)[·•/–—>»-](?=\s)|[^\S\n]{3,}|(?<![^\s,|;])[#+@](?=\w)|\[")
 _LINK = re.compile(r"<a\b[^>]*>.*?(?:</a>|$)|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)\S+", re.IGNORECASE)
-_SENTENCE = re.compile(r"(?<=[.!?؟…])[\"'»”)]*\s+")
-_TAG = re.compile(r"(?:^|[\s,|;])[#+@]\w|\[[^\]\n]{1,40}\]")
-_PRICE = re.compile(r"\d[\d.,]*\s?(?:€|\$|£|EUR|USD|GBP|CHF|XU)?(?=\s|$)")
-_CODE = re.compile(r"\b[^\W\d_]{2,}-\d{2,}\b")
-_SEPARATORS = re.compile(r"\s[|·•/–—>»-]\s|[,;|]|\s{3,}|\t")
-_END = re.compile(r"[.!?؟…][\"'»”)\]]*$")
-_QUOTE = re.compile(r"^[>\s]+")
-
-# Function words of five languages.
-FUNCTION_WORDS = frozenset(
-    """the a an of to in and or that this it is was were be been has have had not nor for from with by at on as if when which who how why what where no one than more there its they them their will must should can so but until while because although under before after nobody each every
-der die das den dem des ein eine einen einem einer und oder dass ist sind war waren wird wurde wurden werden hat haben hatte nicht kein für von mit bei auf an am als wenn weil ob wie warum wo wer was zu zum zur bis nach vor aus im in um aber noch nur muss darf kann erst davon laut es
-le la les l un une des du de d et ou que qui ce cette il elle est sont était a ont avait ne pas pour par avec dans sur au aux en si quand car mais où comment pourquoi dont plus avant après doit peut faut selon se son sa ses jusqu c n s qu
-el los las un una unos unas y o que de del al en con por para es son era fue ha han había no si cuando porque pero donde cómo qué quién cuál más antes hasta desde se su sus lo hay según debe puede está sin nunca primero
-في منها منه عدد من على إلى عن مع هذا هذه التي الذي أن إن كان كانت قد لم لا ما هل إذا لأن لكن حتى قبل بعد عند كل أو ثم تم تمت قام أراد يجب بين حيث منذ أي كيف لماذا أين متى تحت لدى""".split()
-)
-
-# What a segment shows, and how likely each state shows it: (prose, link list, tag list, menu).
-TRAITS: dict[str, tuple[float, float, float, float]] = {
-    "link": (0.06, 0.97, 0.04, 0.10),
-    "links_fill": (0.004, 0.85, 0.005, 0.01),
-    "sentence_end": (0.75, 0.03, 0.03, 0.02),
-    "some_function_words": (0.96, 0.12, 0.20, 0.25),
-    "many_function_words": (0.80, 0.02, 0.03, 0.05),
-    "separated": (0.04, 0.40, 0.55, 0.70),
-    "tags": (0.01, 0.10, 0.30, 0.02),
-    "price_or_code": (0.03, 0.03, 0.30, 0.03),
-    "repeats": (0.015, 0.10, 0.60, 0.05),
-    "repeats_page": (0.06, 0.30, 0.75, 0.20),
-    "short": (0.10, 0.50, 0.35, 0.90),
-    "very_short": (0.03, 0.20, 0.12, 0.70),
-    "upper": (0.01, 0.05, 0.20, 0.25),
-}
-_START = np.log(np.array([0.7, 0.1, 0.1, 0.1]))
-_MOVE = np.log(np.where(np.eye(4, dtype=bool), STAY, (1 - STAY) / 3))
-_TABLE = np.array(list(TRAITS.values()))
-_YES, _NO = np.log(_TABLE), np.log(1 - _TABLE)
+_SENTENCE = re.compile(r"([.!?؟…][\"'»”)]*)\s+")
+_ENDS, _CLOSING = frozenset(".!?؟…"), "\"'»”)]"
+
+#: What a segment may show.
+TRAITS = ("link", "links_fill", "sentence_end", "some_function_words", "many_function_words", "separated", "tags", "numbers", "repeats", "repeats_page", "short", "very_short", "upper")
+#: A segment of fewer words shows neither that it has function words nor that it has none.
+TELLING_WORDS = 4
+FUNCTION_TRAITS = [TRAITS.index("some_function_words"), TRAITS.index("many_function_words")]
+
+def _has_link(text: str) -> bool:
+    return "http" in text or "www." in text or "](" in text or "<a" in text
 
 
 def segments(text: str) -> list[str]:
-    """Lines, cut at sentence ends; what is still long is cut every SEGMENT_WORDS words."""
+    """Lines, cut at sentence ends; what holds LINKS_APART links or more is cut after each, and what is still long every SEGMENT_WORDS words."""
     out = []
     for line in text.split("\n"):
-        if not line.strip():
+        line = line.strip()
+        if not line:
             continue
-        parts = _SENTENCE.split(line) if len(line) > 60 else [line]
-        for p in parts:
-            if p.count(" ") >= 2 * SEGMENT_WORDS:
+        for p in _SENTENCE.sub("\\1\n", line).split("\n") if len(line) > 60 else (line,):
+            if _has_link(p) and len(cuts := [m.end() for m in _LINK.finditer(p)]) >= LINKS_APART:
+                out += [x for a, b in zip([0, *cuts], [*cuts, len(p)]) if len(x := p[a:b].strip(" ,;|\t)")) > 1]
+            elif p.count(" ") >= 2 * SEGMENT_WORDS:
                 words = p.split(" ")
-                cuts = max(1, round(len(words) / SEGMENT_WORDS))
-                size = math.ceil(len(words) / cuts)
+                size = math.ceil(len(words) / max(1, round(len(words) / SEGMENT_WORDS)))
                 out += [" ".join(words[i : i + size]) for i in range(0, len(words), size)]
-            else:
+            elif p:
                 out.append(p)
     return out
 
 
-def traits(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A row of the TRAITS for each segment, and its number of words."""
-    words = [_WORD.findall(_QUOTE.sub("", p).lower()) for p in parts]
-    pairs: Counter[tuple[str, str]] = Counter()
-    for w in words:
-        pairs.update(zip(w, w[1:]))
-    rows = np.zeros((len(parts), len(TRAITS)), bool)
-    sizes = np.zeros(len(parts), np.int64)
-    for k, (p, w) in enumerate(zip(parts, words)):
-        p = p.strip()
-        n = sizes[k] = max(1, len(w))
-        linked = sum(len(m.group()) for m in _LINK.finditer(p)) if "http" in p or "www." in p or "](" in p or "<a" in p else 0
-        free = _LINK.sub(" ", p) if linked else p
-        plain = _WORD.findall(free.lower()) if linked else w
-        m = max(1, len(plain))
-        marks = len(_SEPARATORS.findall(free))
-        own = Counter(zip(w, w[1:]))
-        again = sum(c - 1 for c in own.values())
-        shared = sum(pairs[x] > max(2, own[x]) and pairs[x] >= 4 for x in own)
-        # function words inside a phrase that is said again and again show no sentence
-        known = sum(x in FUNCTION_WORDS for x in plain)
-        ended = bool(_END.search(p)) and m >= 4
-        if again > 0.2 * n or (not ended and own and shared > 0.6 * len(own)):
-            chant = {x for pair, c in own.items() if c > 1 or (pairs[pair] >= 4 and pairs[pair] > c) for x in pair}
-            known = sum(x in FUNCTION_WORDS and x not in chant for x in plain)
-        single = Counter(plain)
-        same = sum(c for x, c in single.items() if c > 1 and x not in FUNCTION_WORDS)
-        letters = [c for c in free if c.isalpha()]
-        rows[k] = (
-            linked > 0,
-            linked > 0.5 * len(p),
-            ended,
-            known >= max(1, 0.12 * m),
-            known >= 0.25 * m and m >= 4,
-            marks > 0 and m / (marks + 1) < 4,
-            len(_TAG.findall(p)) >= max(2, 0.3 * m),
-            m <= 14 and bool(_CODE.search(free) or _PRICE.search(free)) and known < 0.2 * m,
-            again > 0.2 * n or same > 0.5 * m,
-            bool(own) and shared > 0.4 * len(own),
-            m <= 6,
-            m <= 3,
-            len(letters) > 3 and sum(c.isupper() for c in letters) > 0.6 * len(letters),
-        )
-    return rows, sizes
-
-
-def viterbi(rows: np.ndarray) -> np.ndarray:
-    """The most likely states of a page's segments."""
-    emit = np.where(rows[:, None, :], _YES.T[None], _NO.T[None]).sum(axis=2)
-    n = len(emit)
-    back = np.zeros((n, 4), np.int64)
-    best = _START + emit[0]
-    for t in range(1, n):
-        step = best[:, None] + _MOVE
-        back[t] = step.argmax(axis=0)
-        best = step.max(axis=0) + emit[t]
-    path = np.zeros(n, np.int64)
-    path[-1] = best.argmax()
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
-
-
-def page_shares(text: str) -> np.ndarray:
-    """Share of the page's words in each state; zeros for a page without words, all prose for one of fewer than LEAST_WORDS."""
-    parts = segments(text)
-    out = np.zeros(4)
-    if parts and _WORD.search(text):
-        rows, sizes = traits(parts)
-        if sizes.sum() < LEAST_WORDS:
-            out[0] = 1
-            return out
-        np.add.at(out, viterbi(rows), sizes)
-        out /= out.sum()
+class Tokens:
+    """Numbers for tokens: 0 ends a segment, 1 separates, 2 opens a tag; words from 4 on, odd ones begin with a digit."""
+
+    def __init__(self, function_words: Iterable[str]) -> None:
+        self.function_words = sorted(function_words)
+        self.ids: dict[str, int] = {}
+        self._begin()
+
+    def _begin(self) -> None:
+        self.ids = {w: 4 + 2 * i for i, w in enumerate(self.function_words)}
+        self.first_other = 4 + 2 * len(self.function_words)
+        self.ids["\n"] = 0
+
+    def numbers(self, tokens: list[str]) -> np.ndarray:
+        try:
+            return np.fromiter(map(self.ids.__getitem__, tokens), np.int64, len(tokens))
+        except KeyError:
+            if len(self.ids) > _SEEN_LIMIT:
+                self._begin()
+            for t in dict.fromkeys(tokens):
+                if t not in self.ids:
+                    c = t[0]
+                    self.ids[t] = 2 if c in "#+@[" else 4 + 2 * len(self.ids) + c.isdigit() if c.isalnum() else 1
+            return np.fromiter(map(self.ids.__getitem__, tokens), np.int64, len(tokens))
+
+
+def _groups(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+
+
+def traits(parts: list[str], page: np.ndarray, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """A row of TRAITS (1, 0, or NaN where nothing can be told) for each segment, and its number of words.  Segments of a page lie together, ``page`` has its number."""
+    count = len(parts)
+    linked, filled, words_in_links = np.zeros(count, bool), np.zeros(count, bool), np.zeros(count, np.int64)
+    texts = parts
+    for k, p in enumerate(parts):
+        if _has_link(p):
+            found = [m.group() for m in _LINK.finditer(p)]
+            if found:
+                if texts is parts:
+                    texts = list(parts)
+                texts[k] = _LINK.sub(" ", p)
+                linked[k], filled[k] = True, 2 * sum(map(len, found)) > len(p)
+                words_in_links[k] = sum(len(WORD.findall(x)) for x in found)
+    stops = np.fromiter((p.rstrip(_CLOSING)[-1:] in _ENDS for p in parts), bool, count)
+    full = np.fromiter((p[-1:] == "." for p in parts), bool, count)
+    upper = np.fromiter((p.isupper() and len(p) > 3 for p in texts), bool, count)
+    ids = tokens.numbers(_TOKEN.findall("\n".join(texts).lower()))
+    segment = np.cumsum(ids == 0)
+    total = lambda where: np.bincount(segment[where], minlength=count)
+    marks, signs = total(ids == 1), total(ids == 2)
+    word = ids >= 4
+    ids, segment = ids[word], segment[word]
+    m = np.bincount(segment, minlength=count)
+    # pairs of neighbouring words: how often in the segment, and how often in the page
+    inside = np.flatnonzero(segment[1:] == segment[:-1])
+    pair = mix(((ids[inside] << np.int64(32)) | ids[inside + 1]).astype(np.uint64)) ^ mix(page[segment[inside]].astype(np.uint64))
+    order = np.argsort(pair, kind="stable")  # occurrences stay in the order of their segments
+    key, where = pair[order], segment[inside[order]]
+    one = _groups(key)
+    in_page = np.repeat(np.diff(np.append(one, len(key))), np.diff(np.append(one, len(key))))
+    runs = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (where[1:] != where[:-1])])) if len(key) else one
+    own = np.diff(np.append(runs, len(key)))
+    different = np.bincount(where[runs], minlength=count)
+    again = np.bincount(where, minlength=count) - different
+    said = in_page[runs]
+    shared = np.bincount(where[runs], weights=(said >= 4) & (said > np.maximum(2, own)), minlength=count)
+    chant = np.zeros(len(ids), bool)
+    told = inside[order[np.repeat((own > 1) | ((said >= 4) & (said > own)), own)]]
+    chant[told], chant[told + 1] = True, True
+    # function words inside a phrase that is said again and again show no sentence
+    function = (ids < tokens.first_other) & (ids % 2 == 0)
+    size = np.maximum(1, m)
+    ended = stops & (m >= TELLING_WORDS) | full & (m >= 2)  # of few words only a full stop makes a sentence
+    chanted = (again > 0.2 * size) | (~ended & (different > 0) & (shared > 0.6 * different))
+    known = np.where(chanted, np.bincount(segment[function & ~chant], minlength=count), np.bincount(segment[function], minlength=count))
+    cells = np.sort((segment[~function] << np.int64(32)) | ids[~function])
+    first = _groups(cells)
+    times = np.diff(np.append(first, len(cells)))
+    same = np.bincount(cells[first] >> np.int64(32), weights=times * (times > 1), minlength=count)
+    digits = np.bincount(segment[ids % 2 == 1], minlength=count)
+    rows = np.stack(
+        [
+            linked, filled, ended, known >= np.maximum(1, 0.12 * size), (known >= 0.25 * size) & (m >= 4), (marks > 0) & (size < 4 * (marks + 1)), signs >= np.maximum(2, 0.3 * size),
+            (digits > 0) & (m <= 14) & (known < 0.2 * size), (again > 0.2 * size) | (same > 0.5 * size), (different > 0) & (shared > 0.4 * different), (m > 3) & (m <= 6), m <= 3, upper,
+        ],
+        axis=1,
+    ).astype(float)
+    rows[np.ix_(m < TELLING_WORDS, FUNCTION_TRAITS)] = np.nan
+    return rows, np.maximum(1, m + words_in_links)
+
+
+class SpamModel:
+    """Chances to start in a state, to move (states x states), that a state shows a trait (states x traits), and the function words."""
+
+    def __init__(self, start: np.ndarray, move: np.ndarray, shows: np.ndarray, words: Iterable[str]) -> None:
+        self.start, self.move, self.words = np.log(start), np.log(move), sorted(words)
+        yes, no = np.log(shows), np.log(1 - shows)  # states x traits
+        self.yes, self.no = yes.T, no.T
+
+    @classmethod
+    def load(cls, path: Path | str = MODEL) -> SpamModel:
+        with np.load(path) as f:
+            return cls(f["start"], f["move"], f["shows"], f["words"].tolist())
+
+    def emissions(self, rows: np.ndarray) -> np.ndarray:
+        told = ~np.isnan(rows)
+        shown = np.where(told, rows, 0)
+        return shown @ self.yes + (told - shown) @ self.no
+
+    def viterbi(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The most likely states of the segments of pages laid end to end; ``lengths`` has each page's number of segments, none 0."""
+        emit = self.emissions(rows)
+        path = np.zeros(len(emit), np.int64)
+        if not len(emit):
+            return path
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        order = np.argsort(-lengths, kind="stable")
+        lengths, starts = lengths[order], starts[order]
+        steps = [int(np.searchsorted(-lengths, -t, side="left")) for t in range(int(lengths[0]))]  # pages longer than t come first
+        back = np.zeros((len(emit), len(STATES)), np.int8)
+        best = self.start + emit[starts]
+        for t, n in enumerate(steps):
+            if t:
+                at = starts[:n] + t
+                step = best[:n, :, None] + self.move
+                back[at] = step.argmax(axis=1)
+                best[:n] = step.max(axis=1) + emit[at]
+        state = best.argmax(axis=1)
+        for t in range(len(steps) - 1, -1, -1):
+            at = starts[: steps[t]] + t
+            path[at] = state[: steps[t]]
+            state[: steps[t]] = back[at, state[: steps[t]]]
+        return path
+
+
+def shares_of(texts: list[str], model: SpamModel, tokens: Tokens) -> np.ndarray:
+    """Each page's share of words in each state; zeros for a page without words."""
+    pages = [segments(t) for t in texts]
+    lengths = np.array([len(p) for p in pages], np.int64)
+    parts = list(chain.from_iterable(pages))
+    out = np.zeros((len(texts), len(STATES)))
+    if parts:
+        page = np.repeat(np.arange(len(texts)), lengths)
+        rows, sizes = traits(parts, page, tokens)
+        np.add.at(out, (page, model.viterbi(rows, lengths[lengths > 0])), sizes)
+        worded = np.fromiter((WORD.search(t) is not None for t in texts), bool, len(texts))
+        out = np.where(worded[:, None], out / np.maximum(1, out.sum(axis=1, keepdims=True)), 0)
     return out
 
 
-def spam_shares(df: DataFrame, key: str, text: str) -> DataFrame:
+def page_shares(text: str, model: SpamModel | None = None) -> np.ndarray:
+    model = model or SpamModel.load()
+    return shares_of([text], model, Tokens(model.words))[0]
+
+
+def _slices(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Parts of a batch of at most _SLICE pages and about _SLICE_CHARS characters."""
+    at, held = 0, 0
+    for k, n in enumerate(pdf["text"].str.len()):
+        if k - at >= _SLICE or (held + n > _SLICE_CHARS and k > at):
+            yield pdf.iloc[at:k]
+            at, held = k, 0
+        held += n
+    if at < len(pdf):
+        yield pdf.iloc[at:]
+
+
+def _run(batches: Iterator[pd.DataFrame], model: SpamModel) -> Iterator[pd.DataFrame]:
+    tokens = Tokens(model.words)
+    for pdf in batches:
+        for part in _slices(pdf):
+            shares = shares_of(part["text"].tolist(), model, tokens)
+            yield pd.DataFrame({"key": part["key"].to_numpy(), **{s: shares[:, i] for i, s in enumerate(STATES)}})
+
+
+def spam_shares(df: DataFrame, key: str, text: str, model: SpamModel | None = None) -> DataFrame:
     """key and the share of words in each state: prose, link_list, tag_list, menu.
 
-    Null texts give no row; texts without words have zeros.  Repeated rows are answered each.
+    Null texts give no row; texts without words have zeros.  Pages of any length are labelled, those of a few words too.  Repeated rows are answered each.
     """
     source = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull())
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            shares = np.array([page_shares(t) for t in pdf["text"]]).reshape(-1, 4)
-            yield pd.DataFrame({"key": pdf["key"], **{s: shares[:, i] for i, s in enumerate(STATES)}})
-
-    return source.mapInPandas(run, f"key {source.schema['key'].dataType.simpleString()}, " + ", ".join(f"{s} double" for s in STATES))
+    return source.mapInPandas(partial(_run, model=model or SpamModel.load()), f"key {source.schema['key'].dataType.simpleString()}, " + ", ".join(f"{s} double" for s in STATES))
 
 
-def spam_pages(df: DataFrame, key: str, text: str, share: float = FLAG_SHARE) -> DataFrame:
+def spam_pages(df: DataFrame, key: str, text: str, share: float = FLAG_SHARE, model: SpamModel | None = None) -> DataFrame:
     """The keys of pages whose words outside prose make up at least ``share``, each once."""
     rest = F.col("link_list") + F.col("tag_list") + F.col("menu")
-    return spam_shares(df, key, text).where(rest >= share).select("key").distinct()
+    return spam_shares(df, key, text, model).where(rest >= share).select("key").distinct()

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corvella.llm import block_training, language, main_content, scan_repair, spam_pages
+from corvella.llm import block_training, language, main_content, scan_repair, spam_pages, spam_training
 from tests.conftest import DATA
 
 # language
@@ -257,3 +257,44 @@ def test_spam_edges(spark):
     assert 6 in [r.key for r in spam_pages.spam_pages(df, "id", "body").collect()]
     assert spam_pages.spam_pages(df, "id", "body").where("key = 6").count() == 1
     assert spam_pages.spam_pages(df.limit(0), "id", "body").count() == 0
+
+
+@pytest.mark.parametrize("text", ["http://a.example/x http://b.example/y http://c.example/z", "#pump #valve #form", "see http://a.example/1 - pour http://a.example/2 - avec http://a.example/3 - the rest"])
+def test_short_lists_are_labelled_too(text):
+    assert spam_pages.page_shares(text)[0] < 0.5
+
+
+def test_pages_of_a_batch_do_not_touch():
+    model = spam_pages.SpamModel.load()
+    texts = [PROSE, "", "#a #b #c #d #e #f", "\n".join(f"pump {i} new" for i in range(300)), PROSE + "\n" + PROSE, "...", "x"]
+    together = spam_pages.shares_of(texts, model, spam_pages.Tokens(model.words))
+    assert np.allclose(together, [spam_pages.page_shares(t, model) for t in texts])
+
+
+def test_viterbi_is_the_best_of_all_paths():
+    import itertools
+
+    rng = np.random.default_rng(3)
+    model = spam_pages.SpamModel(*spam_training.first_model(), ())
+    rows = rng.random((5, len(spam_pages.TRAITS))).round()
+    rows[1, spam_pages.FUNCTION_TRAITS] = np.nan
+    emit = model.emissions(rows)
+    score = lambda path: model.start[path[0]] + sum(emit[i, s] for i, s in enumerate(path)) + sum(model.move[a, b] for a, b in zip(path, path[1:]))
+    best = max(itertools.product(range(4), repeat=5), key=score)
+    assert tuple(model.viterbi(rows, np.array([5]))) == best
+
+
+def test_fitting_raises_the_likelihood_and_keeps_the_states():
+    import duckdb
+
+    texts = [r[0] for r in duckdb.sql(f"SELECT text FROM '{DATA}/documents.parquet' WHERE text IS NOT NULL").fetchall()]
+    samples = duckdb.sql(f"SELECT lang, text FROM '{DATA}/lang_samples.parquet'").fetchall()
+    words = spam_training.function_words(samples)
+    assert {"the", "und", "le", "el"} <= words and len(words) < 400
+    rows, lengths = spam_training.observed(texts, words)
+    first = spam_training.first_model()
+    fitted = spam_training.fit(rows, lengths, rounds=8)
+    grown = [spam_training.expected(spam_pages.SpamModel(*m, words), rows, lengths)[0] for m in (first, fitted)]
+    assert grown[1] > grown[0]
+    end, link = spam_pages.TRAITS.index("sentence_end"), spam_pages.TRAITS.index("link")
+    assert fitted[2][:, end].argmax() == 0 and fitted[2][:, link].argmax() == 1

@@ -11,8 +11,8 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 # Elements that are dropped, that hold content, and that never have an end tag.
-DROPPED = frozenset("script style nav footer header aside form noscript svg iframe".split())
-CONTENT = frozenset("article main section p h1 h2 h3 h4 h5 h6 li td th blockquote pre code figcaption summary details".split())
+DROPPED = frozenset(["script", "style", "nav", "footer", "header", "aside", "form", "noscript", "svg", "iframe"])
+CONTENT = frozenset(["article", "main", "section", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "blockquote", "pre", "code", "figcaption", "summary", "details"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES_P = frozenset("article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
@@ -86,7 +86,7 @@ class _Tree(HTMLParser):
 def extract(html: str | None, least: int = 20) -> tuple[str, list[str]]:
     """(title, paragraphs): texts of the content elements under the page's root, in order, of more than ``least`` characters.
 
-    The root is the first article, else main, else an element of role main, else body, else the document.  Nested content elements
+    The root is the first article, else main, else a div of role main, else body, else the document.  Nested content elements
     give their text each, so text inside two of them comes twice.
     """
     tree = _Tree()
@@ -103,9 +103,9 @@ def extract(html: str | None, least: int = 20) -> tuple[str, list[str]]:
         return next((n for n in nodes if test(n)), None)
 
     title = first(lambda n: n.tag == "title")
-    root = first(lambda n: n.tag == "article") or first(lambda n: n.tag == "main") or first(lambda n: n.attrs.get("role") == "main") or first(lambda n: n.tag == "body") or tree.root
+    root = first(lambda n: n.tag == "article") or first(lambda n: n.tag == "main") or first(lambda n: n.tag == "div" and n.attrs.get("role") == "main") or first(lambda n: n.tag == "body") or tree.root
     texts = (n.text(" ") for n in root.walk() if n.tag in CONTENT)
-    return (title.text(" ") if title else "", [t for t in texts if len(t) > least])
+    return (title.text("") if title else "", [t for t in texts if len(t) > least])
 
 
 @pandas_udf(StructType([StructField("title", StringType()), StructField("paragraphs", ArrayType(StringType()))]))

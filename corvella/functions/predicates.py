@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corvella.config import Settings
-from corvella.functions.text import strip
+from corvella.functions.text import SPACE, strip
 
 DEFAULTS = Settings()
-URL = r"^https?://(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?::\d+)?(?:/.*)?$"
+# What counts as an address; white space of any script's kind ends it.
+URL = rf"^https?://(?:[a-zA-Z0-9\-]+\.)+[a-zA-Z]{{2,}}(?::\p{{Nd}}+)?(?:/[^{SPACE[1:-1]}]*)?\n?\z"
 
 # Media types under which browsers send tables.
 TABLE_MEDIA = {

@@ -52,12 +52,24 @@ def _goes_on(line: str, following: str) -> bool:
     return not (line[-1] in ".!?:" and (first.isupper() or first.isdigit()))
 
 
+class _Visible(dict):
+    """A translation that drops control characters and the like but for line feeds and tabs; what a character is, is looked up once."""
+
+    def __missing__(self, code: int) -> int | None:
+        c = chr(code)
+        self[code] = code if c in "\n\t" or unicodedata.category(c)[0] != "C" else None
+        return self[code]
+
+
+_VISIBLE = _Visible()
+
+
 def clean_text_py(text: str | None) -> str:
     """Page text made continuous: compatible characters composed, cut words joined, control characters dropped, wraps undone."""
     if not text:
         return ""
-    t = re.sub(r"(\w)-\n(\w)", r"\1\2", unicodedata.normalize("NFKC", text))
-    t = "".join(c for c in t if c in "\n\t" or unicodedata.category(c)[0] != "C")
+    t = re.sub(r"(\w)-\n(\w)", r"\1\2", text if text.isascii() else unicodedata.normalize("NFKC", text))
+    t = t.translate(_VISIBLE)
     t = re.sub(r" ?\n ?", "\n", re.sub(r"[ \t]+", " ", t))
     lines = t.split("\n")
     merged = lines[:1]
@@ -82,7 +94,7 @@ def clean_file_name(name: Column) -> Column:
 
 def url_file_name(url: Column) -> Column:
     """The name under which a page's text is kept."""
-    plain = F.regexp_replace(F.regexp_replace(url, r"^https?://", ""), r"[^\p{L}\p{N}_]", "_")
+    plain = F.regexp_replace(F.regexp_replace(url, r"https?://", ""), r"[^\p{L}\p{N}_]", "_")
     return F.concat(F.substring(plain, 1, 80), F.lit(".txt"))
 
 
@@ -107,18 +119,18 @@ def block_text(lines: Column) -> Column:
 
 
 def citation_label(meta: Column) -> Column:
-    """Where a passage comes from: file name without its key, and page, table, image, sheet or rows."""
-    name = F.element_at(F.split(meta["source"], r"[/\\]"), -1)
+    """Where a passage comes from: file name without its key, and page, table, image, sheet or rows.  An index of 0 or an empty range is none."""
+    name = F.element_at(F.split(meta["source"], "/"), -1)
     plain = F.regexp_replace(name, r"^[^_]*_", "")
     file = F.when(plain == "", name).otherwise(plain)
-    page, rows = meta["page"], meta["row_range"]
+    page, rows, kind = meta["page"], F.nullif(meta["row_range"], F.lit("")), meta["content_type"]
     part = (
-        F.when(meta["table_index"].isNotNull(), F.concat_ws(" | ", F.concat(F.lit("Table: "), meta["table_index"]), F.concat(F.lit("Rows: "), rows)))
-        .when(meta["image_index"].isNotNull(), F.concat(F.lit("Image: "), meta["image_index"]))
-        .when(meta["content_type"] == "page_scan", F.lit("Scanned Page"))
+        F.when((kind == "table") & (meta["table_index"] != 0), F.concat_ws(" | ", F.concat(F.lit("Table: "), meta["table_index"]), F.concat(F.lit("Rows: "), rows)))
+        .when((kind == "image") & (meta["image_index"] != 0), F.concat(F.lit("Image: "), meta["image_index"]))
+        .when(kind == "page_scan", F.lit("Scanned Page"))
     )
     paged = F.concat(file, F.lit(" (Page: "), page, F.coalesce(F.concat(F.lit(" | "), part), F.lit("")), F.lit(")"))
-    sheet = F.concat_ws(" | ", F.concat(F.lit("Sheet: "), meta["sheet_name"]), F.concat(F.lit("Rows: "), rows))
+    sheet = F.concat_ws(" | ", F.concat(F.lit("Sheet: "), F.nullif(meta["sheet_name"], F.lit(""))), F.concat(F.lit("Rows: "), rows))
     return (
         F.when(meta.isNull() | meta["source"].isNull() | (meta["source"] == ""), F.lit("unknown"))
         .when(page.isNotNull(), paged)

@@ -11,6 +11,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
 from corvella.config import Settings
+from corvella.functions.text import SPACE
 from corvella.operators import layout
 from corvella.operators.numbering import numbered
 
@@ -86,9 +87,17 @@ def inner_sizes(header: Column, size: int, overlap: int) -> tuple[Column, Column
 
 
 def kept_header(text: Column) -> Column:
-    """The first line, if a closing bracket stands in it; null otherwise."""
+    """The first line of a text that begins with a bracket closed in it (without a line feed: up to the closing bracket); null otherwise."""
     line = F.substring_index(text, "\n", 1)
-    return F.when(text.contains("\n") & line.contains("]"), line)
+    closed = F.when(text.contains("\n"), line).otherwise(F.concat(F.substring_index(text, "]", 1), F.lit("]")))
+    return F.when(text.startswith("[") & line.contains("]"), F.regexp_replace(closed, rf"{SPACE}+$", ""))
+
+
+def under_header(text: Column) -> Column:
+    """What follows the kept header, without line feeds at its start."""
+    line = F.length(F.substring_index(text, "\n", 1))
+    rest = F.when(text.contains("\n"), F.substring(text, line + 1, F.length(text))).otherwise(F.substring(text, F.length(F.substring_index(text, "]", 1)) + 2, F.length(text)))
+    return F.regexp_replace(rest, r"^\n+", "")
 
 
 def split_atomic(elements: DataFrame, text: str, size: int = DEFAULTS.chunk_size, overlap: int = DEFAULTS.overlap_size) -> DataFrame:
@@ -96,7 +105,7 @@ def split_atomic(elements: DataFrame, text: str, size: int = DEFAULTS.chunk_size
     whole = F.length(text) <= 2 * size
     header = kept_header(F.col(text))
     inner, lap = inner_sizes(header, size, overlap)
-    body = F.when(header.isNotNull(), F.expr(f"substring(`{text}`, length(substring_index(`{text}`, '\n', 1)) + 2)")).otherwise(F.col(text))
+    body = F.when(header.isNotNull(), under_header(F.col(text))).otherwise(F.col(text))
     sized = elements.select("*", header.alias("_header"), body.alias("_body"), F.when(header.isNotNull(), inner).otherwise(F.lit(size)).alias("_size"), F.when(header.isNotNull(), lap).otherwise(F.lit(overlap)).alias("_lap"))
     kept = sized.where(whole).select(*elements.columns, F.lit(0).alias("piece_no"), F.col(text).alias("chunk_text"), F.lit(None).cast("boolean").alias("continuation"))
     cut = sized.where(~whole).select(*elements.columns, "_header", F.posexplode(split_text(F.col("_body"), F.col("_size").cast("int"), F.col("_lap").cast("int"))).alias("piece_no", "_piece"))

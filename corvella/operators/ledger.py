@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from corvella.config import Settings
 
@@ -16,17 +21,30 @@ def _seconds(time: Column) -> Column:
     return time.cast("timestamp").cast("double")
 
 
+@pandas_udf(T.StringType())
+def _json_text(value: pd.Series) -> pd.Series:
+    return value.map(json.dumps, na_action="ignore")
+
+
+@pandas_udf(T.StringType())
+def _json_number(value: pd.Series) -> pd.Series:
+    return value.map(lambda x: json.dumps(float(x)), na_action="ignore")
+
+
+def json_value(value: Column) -> Column:
+    """A value as JSON writes it, in ASCII: strings, dates and times in quotes, true and false, numbers, null."""
+    kind = F.typeof(value)
+    text = (
+        F.when(kind.isin("double", "float"), _json_number(value.cast("double")))
+        .when(kind.isin("boolean", "tinyint", "smallint", "int", "bigint"), value.cast("string"))
+        .otherwise(_json_text(value.cast("string")))
+    )
+    return F.when(value.isNull(), F.lit("null")).otherwise(text)
+
+
 def args_hash(task_name: Column, args: dict[str, Column]) -> Column:
-    """SHA-256 of the arguments and the task's name as JSON with sorted keys and a space after each mark.
-
-    The name is a string of plain characters; arguments are numbers or null.
-    """
-    parts = []
-    for k, v in sorted({**args, "task_name": task_name}.items()):
-        text = F.when(v.isNull(), F.lit("null"))
-        escaped = F.replace(F.replace(v.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-        quoted = F.concat(F.lit('"'), escaped, F.lit('"'))
-        parts.append(F.concat(F.lit(f'"{k}": '), text.otherwise(quoted if k == "task_name" else v.cast("string"))))
+    """SHA-256 of the arguments and the task's name as JSON with sorted keys and a space after each mark."""
+    parts = [F.concat(F.lit(f"{json.dumps(k)}: "), json_value(v)) for k, v in sorted({**args, "task_name": task_name}.items())]
     return F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")), 256)
 
 
@@ -84,7 +102,8 @@ def public_result(result: Column) -> Column:
     return F.map_filter(result, lambda k, _: ~k.startswith("_"))
 
 
-def recorded(ledger: DataFrame, tasks: DataFrame) -> DataFrame:
-    """The ledger with an entry for each new task (task_name, task_args_hash) that has none; a task given twice is entered once."""
+def recorded(ledger: DataFrame, tasks: DataFrame, now: Column) -> DataFrame:
+    """The ledger with an entry for each new task (task_name, task_args_hash and more) that has none: PENDING, begun now.  A task given twice is entered once."""
     fresh = tasks.dropDuplicates(KEYS).join(ledger.select(*KEYS), KEYS, "left_anti")
-    return ledger.unionByName(fresh, allowMissingColumns=True)
+    times = {c: now for c in ("started_at", "created_at") if c in ledger.columns}
+    return ledger.unionByName(fresh.withColumns({"status": F.lit("PENDING"), **times}), allowMissingColumns=True).select(*ledger.columns)

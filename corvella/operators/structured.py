@@ -27,9 +27,8 @@ def shown(df: DataFrame, column: str) -> Column:
 
 
 def row_text(df: DataFrame, number: Column, columns: list[str]) -> Column:
-    """``Row n:`` and ``name: value`` pairs; a blank name is column_i."""
-    names = [c.strip() or f"column_{i}" for i, c in enumerate(columns, 1)]
-    pairs = [F.concat(F.lit(f"{n}: "), shown(df, c)) for n, c in zip(names, columns)]
+    """``Row n:`` and ``name: value`` pairs; names are stripped."""
+    pairs = [F.concat(F.lit(f"{c.strip()}: "), shown(df, c)) for c in columns]
     return F.concat(F.lit("Row "), number.cast("string"), F.lit(":\n"), F.concat_ws(" | ", *pairs))
 
 

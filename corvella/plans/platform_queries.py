@@ -103,7 +103,7 @@ def asset_create(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT 7 AS asset_project_id, strlen(text) AS asset_size, 'url' AS asset_type,
- substr(sha256('7:' || source), 1, 12) || '_' || substr(regexp_replace(regexp_replace(source, '^https?://', ''), '[^\\p{L}\\p{N}_]', '_', 'g'), 1, 80) || '.txt' AS asset_name
+ substr(sha256('7:' || source), 1, 12) || '_' || substr(regexp_replace(regexp_replace(source, 'https?://', '', 'g'), '[^\\p{L}\\p{N}_]', '_', 'g'), 1, 80) || '.txt' AS asset_name
 FROM documents WHERE source LIKE 'http%' AND text IS NOT NULL AND strlen(text) BETWEEN 1 AND 2000""")
 def page_ingest_assets(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "documents").where("source LIKE 'http%' AND text IS NOT NULL").select(F.col("source").alias("url"), "title", "text")
@@ -179,9 +179,16 @@ def _ledger(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.col("event_id").alias("execution_id"), F.col("event_type").alias("task_name"), F.col("user_id").cast("string").alias("task_args_hash"), state.alias("status"), started.alias("started_at"), F.col("ts").alias("created_at"))
 
 
-@query("SELECT event_id, sha256('{\"do_reset\": ' || (event_id % 2) || ', \"project_id\": ' || user_id || ', \"task_name\": \"' || event_type || '\"}') AS task_args_hash FROM events")
+@query("""SELECT event_id, sha256('{"chunk_size": ' || coalesce(CAST(CASE WHEN event_id % 3 <> 0 THEN event_id % 1000 END AS VARCHAR), 'null') || ', "do_reset": ' || CASE WHEN event_id % 2 = 1 THEN 'true' ELSE 'false' END
+ || ', "file_id": ' || CASE WHEN event_id % 5 = 0 THEN 'null' ELSE '"k' || event_id || '_caf\\u00e9 \\"a\\" \\ud83d\\ude00.pdf"' END || ', "project_id": ' || user_id || ', "share": ' || CAST(event_id % 8 / 4.0::DOUBLE AS VARCHAR) || ', "task_name": "' || event_type || '"}') AS task_args_hash FROM events""")
 def task_hash(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", ledger.args_hash(F.col("event_type"), {"project_id": F.col("user_id"), "do_reset": F.col("event_id") % 2}).alias("task_args_hash"))
+    """Arguments of every kind: numbers, booleans, nulls, and strings with quotes and letters beyond ASCII."""
+    n = F.col("event_id")
+    args = {
+        "project_id": F.col("user_id"), "do_reset": n % 2 == 1, "chunk_size": F.when(n % 3 != 0, n % 1000), "share": (n % 8 / F.lit(4.0)).cast("double"),
+        "file_id": F.when(n % 5 != 0, F.concat(F.lit("k"), n.cast("string"), F.lit('_café "a" 😀.pdf'))),
+    }
+    return table(spark, sf, "events").select("event_id", ledger.args_hash(F.col("event_type"), args).alias("task_args_hash"))
 
 
 _LATEST = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_name, task_args_hash ORDER BY created_at DESC, execution_id DESC) AS p FROM ({_LEDGER})) WHERE p = 1)"
@@ -245,6 +252,14 @@ def ledger_update(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.updated(base, changes, _now()).select("execution_id", "status", "completed_at")
 
 
+@query(f"""SELECT task_name, task_args_hash, status, started_at FROM ({_LEDGER}) UNION ALL
+SELECT a.task_name, a.task_args_hash, 'PENDING', {_NOW} FROM ({_ASKED}) a WHERE NOT EXISTS (SELECT 1 FROM ({_LEDGER}) l WHERE l.task_name = a.task_name AND l.task_args_hash = a.task_args_hash)""")
+def ledger_insert(spark: SparkSession, sf: str) -> DataFrame:
+    """Asked tasks without an entry get one: pending, begun now."""
+    twice = _asked(spark, sf).unionByName(_asked(spark, sf))
+    return ledger.recorded(_ledger(spark, sf), twice, _now()).select("task_name", "task_args_hash", "status", "started_at")
+
+
 @query("SELECT event_id, (event_id % 700) IN (408, 409, 429) OR (event_id % 700) BETWEEN 500 AND 599 OR event_type LIKE '%click%' AS again FROM events")
 def retryable_flag(spark: SparkSession, sf: str) -> DataFrame:
     told = F.when(F.col("event_type").contains("click"), F.lit("Timeout while reading")).otherwise(F.lit("bad request"))

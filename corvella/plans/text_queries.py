@@ -60,14 +60,24 @@ def text_soft_wrap_merge(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.once(table(spark, sf, "chunks"), "chunk_id").select("chunk_id", lines(F.col("chunk_text")).alias("before"), lines(text.clean_text("chunk_text")).alias("after"))
 
 
-@query("SELECT doc_id, source, regexp_matches(coalesce(source, ''), '^https?://(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\\.)+[A-Za-z]{2,}(?::[0-9]+)?(?:/.*)?$') AS is_url FROM documents")
+_ODD_URL = "CASE doc_id % 4 WHEN 1 THEN source || ' b' WHEN 2 THEN replace(source, '://', '://-') WHEN 3 THEN source || '/?u=http://a.example/b' ELSE source END"
+
+
+def _odd_url(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources with a blank at the end, a hyphen before the host, another address inside, and as they are."""
+    kind, source = F.col("doc_id") % 4, F.col("source")
+    odd = F.when(kind == 1, F.concat(source, F.lit(" b"))).when(kind == 2, F.replace(source, F.lit("://"), F.lit("://-"))).when(kind == 3, F.concat(source, F.lit("/?u=http://a.example/b"))).otherwise(source)
+    return table(spark, sf, "documents").select("doc_id", odd.alias("url"))
+
+
+@query(f"SELECT doc_id, regexp_matches(coalesce({_ODD_URL}, ''), '^https?://(?:[a-zA-Z0-9-]+\\.)+[a-zA-Z]{{2,}}(?::[0-9]+)?(?:/[^\\s]*)?$') AS is_url FROM documents")
 def url_validate(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "source", predicates.valid_url(F.col("source")).alias("is_url"))
+    return _odd_url(spark, sf).select("doc_id", predicates.valid_url(F.col("url")).alias("is_url"))
 
 
-@query(f"SELECT doc_id, substr(regexp_replace(regexp_replace(source, '^https?://', ''), '[^\\p{{L}}\\p{{N}}_]', '_', 'g'), 1, 80) || '.txt' AS slug FROM documents WHERE source IS NOT NULL")
+@query(f"SELECT doc_id, substr(regexp_replace(regexp_replace({_ODD_URL}, 'https?://', '', 'g'), '[^\\p{{L}}\\p{{N}}_]', '_', 'g'), 1, 80) || '.txt' AS slug FROM documents WHERE source IS NOT NULL")
 def url_slug(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").where("source IS NOT NULL").select("doc_id", text.url_file_name(F.col("source")).alias("slug"))
+    return _odd_url(spark, sf).where("url IS NOT NULL").select("doc_id", text.url_file_name(F.col("url")).alias("slug"))
 
 
 @query(f"SELECT asset_id, regexp_replace({strip_sql('asset_name')}, '[^\\p{{L}}\\p{{N}}_.]', '', 'g') AS stored FROM (SELECT DISTINCT asset_id, asset_name FROM assets)")
@@ -123,20 +133,36 @@ def html_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", html.page_content(_page_html(F.replace(F.col("text"), F.lit("\r"), F.lit("\n"))))["text"].alias("page_text"))
 
 
-_FILE = "regexp_extract(m.source, '([^/\\\\]*)$', 1)"
+@query("""SELECT doc_id, 'first half' AS title, CASE doc_id % 4 WHEN 0 THEN 'outside the root, long enough' || chr(10) || chr(10) || 'inside a section that says main' ELSE 'inside the root, long enough' END AS page_text FROM documents""")
+def html_root(spark: SparkSession, sf: str) -> DataFrame:
+    """Only a div can be the root by its role; a section that says main is none."""
+    n = F.col("doc_id") % 4
+    inside = "<p>inside the root, long enough</p><p>too short</p>"
+    body = F.when(n == 0, F.lit("<p>outside the root, long enough</p><div role='main2'><b></b></div><span role='main'><p>inside a section that says main</p></span>")).when(
+        n == 1, F.lit(f"<p>outside the root, long enough</p><div role='main'>{inside}</div>")).when(n == 2, F.lit(f"<p>outside the root, long enough</p><main>{inside}</main>")).otherwise(F.lit(f"<main><p>outside the root, long enough</p></main><article>{inside}</article>"))
+    page = F.concat(F.lit("<html><head><title> first half </title></head><body>"), body, F.lit("</body></html>"))
+    return table(spark, sf, "documents").select("doc_id", html.page_content(page).alias("c")).select("doc_id", "c.title", F.col("c.text").alias("page_text"))
+
+
+_FILE = "regexp_extract(m.source, '([^/]*)$', 1)"
 
 
 @query(f"""
-WITH c AS (SELECT DISTINCT chunk_id, chunk_metadata AS m FROM chunks),
-f AS (SELECT chunk_id, m, CASE WHEN regexp_replace({_FILE}, '^[^_]*_', '') = '' THEN {_FILE} ELSE regexp_replace({_FILE}, '^[^_]*_', '') END AS file FROM c)
+WITH b AS (SELECT DISTINCT chunk_id, chunk_metadata AS m FROM chunks), c AS (SELECT chunk_id, m, CASE chunk_id % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'table' WHEN 2 THEN 'image' ELSE m.content_type END AS kind, CASE WHEN chunk_id % 3 = 0 THEN 0 WHEN chunk_id % 3 = 1 THEN 4 ELSE m.table_index END AS nth FROM b),
+f AS (SELECT *, CASE WHEN regexp_replace({_FILE}, '^[^_]*_', '') = '' THEN {_FILE} ELSE regexp_replace({_FILE}, '^[^_]*_', '') END AS file FROM c)
 SELECT chunk_id, CASE WHEN m IS NULL OR m.source IS NULL OR m.source = '' THEN 'unknown'
  WHEN m.page IS NOT NULL THEN file || ' (Page: ' || m.page || coalesce(' | ' || CASE
-   WHEN m.table_index IS NOT NULL THEN concat_ws(' | ', 'Table: ' || m.table_index, 'Rows: ' || m.row_range)
-   WHEN m.image_index IS NOT NULL THEN 'Image: ' || m.image_index WHEN m.content_type = 'page_scan' THEN 'Scanned Page' END, '') || ')'
- WHEN m.format = 'structured_data' AND concat_ws(' | ', 'Sheet: ' || m.sheet_name, 'Rows: ' || m.row_range) <> ''
-  THEN file || ' (' || concat_ws(' | ', 'Sheet: ' || m.sheet_name, 'Rows: ' || m.row_range) || ')' ELSE file END AS label FROM f""")
+   WHEN kind = 'table' AND nth <> 0 THEN concat_ws(' | ', 'Table: ' || nth, 'Rows: ' || nullif(m.row_range, ''))
+   WHEN kind = 'image' AND m.image_index <> 0 THEN 'Image: ' || m.image_index WHEN kind = 'page_scan' THEN 'Scanned Page' END, '') || ')'
+ WHEN m.format = 'structured_data' AND concat_ws(' | ', 'Sheet: ' || nullif(m.sheet_name, ''), 'Rows: ' || nullif(m.row_range, '')) <> ''
+  THEN file || ' (' || concat_ws(' | ', 'Sheet: ' || nullif(m.sheet_name, ''), 'Rows: ' || nullif(m.row_range, '')) || ')' ELSE file END AS label FROM f""")
 def cite_label(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.once(table(spark, sf, "chunks"), "chunk_id").select("chunk_id", text.citation_label(F.col("chunk_metadata")).alias("label"))
+    """Labels of the chunks, the kind of some and their table's number being changed: an index without its kind is not shown, nor is number 0."""
+    meta, n = F.col("chunk_metadata"), F.col("chunk_id")
+    kind = F.when(n % 5 == 0, "text").when(n % 5 == 1, "table").when(n % 5 == 2, "image").otherwise(meta["content_type"])
+    nth = F.when(n % 3 == 0, 0).when(n % 3 == 1, 4).otherwise(meta["table_index"])
+    changed = meta.withField("content_type", kind).withField("table_index", nth)
+    return catalog.once(table(spark, sf, "chunks"), "chunk_id").select("chunk_id", text.citation_label(changed).alias("label"))
 
 
 @query("SELECT chunk_id, m.format AS format, m.page AS page, m.content_type AS content_type, m IS NULL AS bare FROM (SELECT DISTINCT chunk_id, chunk_metadata AS m FROM chunks)")
@@ -173,10 +199,26 @@ def chunk_order_stats(spark: SparkSession, sf: str) -> DataFrame:
     return ordered.groupBy("doc_id").agg(F.max("chunk_order").alias("chunks"), F.max(F.length("chunk_text")).alias("longest"))
 
 
-@query("""SELECT p_partkey, greatest(200, 800 - length(p_name) - 2) AS inner_size, CAST(least(200, greatest(200, 800 - length(p_name) - 2) // 2) AS INTEGER) AS inner_overlap FROM part""")
-def chunk_header_split_inner_size(spark: SparkSession, sf: str) -> DataFrame:
-    inner, lap = chunking.inner_sizes(F.col("p_name"), 800, 200)
-    return table(spark, sf, "part").select("p_partkey", inner.alias("inner_size"), lap.alias("inner_overlap"))
+_ATOMIC = """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '[' || p_name || ' | Page: 1] ' || chr(10) || chr(10) || repeat('abcdefghij', 161 + p_size)
+ WHEN 1 THEN 'see[1]' || repeat('abcdefghij', 161 + p_size) WHEN 2 THEN '[' || p_name || ']' || repeat('abcdefghij', 161 + p_size) ELSE '[' || p_name || ']' || repeat('abcdefghij', p_size) END AS body FROM part"""
+
+
+@query(f"""
+WITH a AS ({_ATOMIC}),
+h AS (SELECT p_partkey, body, length(body) <= 1600 AS whole, CASE p_partkey % 4 WHEN 0 THEN rtrim(split_part(body, chr(10), 1)) WHEN 2 THEN split_part(body, ']', 1) || ']' END AS head,
+ CASE p_partkey % 4 WHEN 0 THEN ltrim(substr(body, length(split_part(body, chr(10), 1)) + 1), chr(10)) WHEN 2 THEN substr(body, length(split_part(body, ']', 1)) + 2) ELSE body END AS rest FROM a),
+s AS (SELECT *, CASE WHEN head IS NULL THEN 800 ELSE greatest(200, 800 - length(head) - 2) END AS size FROM h),
+o AS (SELECT *, CASE WHEN head IS NULL THEN 200 ELSE least(200, size // 2) END AS lap FROM s),
+n AS (SELECT *, unnest(range(0, CAST(CASE WHEN whole THEN 1 ELSE 1 + ceil(greatest(length(rest) - size, 0) / (size - lap)::DOUBLE) END AS BIGINT))) AS k FROM o)
+SELECT p_partkey, CAST(k AS INTEGER) AS piece_no, CASE WHEN whole THEN body ELSE coalesce(head || chr(10), '') || substr(rest, k * (size - lap) + 1, size) END AS chunk_text,
+ CASE WHEN NOT whole AND head IS NOT NULL AND k > 0 THEN true END AS continuation FROM n""")
+def chunk_header_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Elements with a header line, with a bracket that is none, with a header that no line feed ends, and short ones, through the split that keeps headers."""
+    n, name = F.col("p_partkey") % 4, F.col("p_name")
+    body = F.repeat(F.lit("abcdefghij"), 161 + F.col("p_size"))
+    closed = F.concat(F.lit("["), name, F.lit("]"))
+    whole = F.when(n == 0, F.concat(F.lit("["), name, F.lit(" | Page: 1] \n\n"), body)).when(n == 1, F.concat(F.lit("see[1]"), body)).when(n == 2, F.concat(closed, body)).otherwise(F.concat(closed, F.repeat(F.lit("abcdefghij"), F.col("p_size"))))
+    return chunking.split_atomic(table(spark, sf, "part").select("p_partkey", whole.alias("body")), "body").select("p_partkey", "piece_no", "chunk_text", "continuation")
 
 
 @query("SELECT coalesce(m.format = 'pdf', false) AS paged, count(*) AS chunks FROM (SELECT DISTINCT chunk_id, chunk_metadata AS m FROM chunks) GROUP BY 1")
@@ -280,22 +322,27 @@ def table_greedy_batches(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("p_brand", F.concat(F.col("b.first"), F.lit("-"), F.col("b.last")).alias("row_range"), F.length("b.text").alias("chars"))
 
 
-_HEAD = "CASE WHEN n % 4 = 1 THEN ['key' || b, 'name'] WHEN n % 4 = 3 THEN ['only' || b] ELSE ['col_1', 'col_2'] END"
+_HEAD = "CASE n % 9 WHEN 1 THEN ['key' || b, 'name'] WHEN 3 THEN ['only' || b] WHEN 5 THEN ['col_1', 'part' || b] WHEN 6 THEN ['col_1', 'col_2', 'col_3'] WHEN 7 THEN ['a', 'col_2', 'c' || b] ELSE ['col_1', 'col_2'] END"
 
 
 @query(f"""
 WITH RECURSIVE p AS (SELECT o_custkey % 40 AS f, row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey, o_custkey) AS n FROM orders),
-h AS (SELECT f, n, {_HEAD} AS c FROM (SELECT f, n, n // 4 AS b FROM p)),
-w AS (SELECT f, n, c AS used FROM h WHERE n = 1
- UNION ALL SELECT h.f, h.n, CASE WHEN list_contains(h.c, 'col_1') AND len(w.used) = len(h.c) THEN w.used ELSE h.c END FROM w JOIN h ON h.f = w.f AND h.n = w.n + 1)
+h AS (SELECT f, n, {_HEAD} AS c, n % 9 IN (1, 3) AS real, n % 9 NOT IN (6, 0, 2, 4, 8) AS worth, n % 18 <> 7 AS has_rows FROM (SELECT f, n, n // 9 AS b FROM p)),
+w AS (SELECT f, n, c AS used, CASE WHEN worth AND has_rows THEN c END AS held FROM h WHERE n = 1
+ UNION ALL SELECT h.f, h.n, CASE WHEN NOT h.real AND len(w.held) = len(h.c) THEN w.held ELSE h.c END,
+ CASE WHEN NOT h.real AND len(w.held) = len(h.c) THEN w.held WHEN h.worth AND h.has_rows THEN h.c ELSE w.held END FROM w JOIN h ON h.f = w.f AND h.n = w.n + 1)
 SELECT f AS file_id, CAST(n AS INTEGER) AS page, used AS used_columns FROM w""")
 def table_carry_forward(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders as pages of forty files, each with one table; the names pass over pages with made-up headers."""
+    """Orders as pages of forty files, each with one table: real headers, headers made up in part or as a whole and of other widths, and tables without rows."""
     n = F.row_number().over(Window.partitionBy("file_id").orderBy("o_orderkey", "o_custkey"))
     pages = table(spark, sf, "orders").select((F.col("o_custkey") % 40).alias("file_id"), "o_orderkey", "o_custkey").withColumn("page", n)
-    b = F.floor(F.col("page") / 4).cast("string")
-    head = F.when(F.col("page") % 4 == 1, F.array(F.concat(F.lit("key"), b), F.lit("name"))).when(F.col("page") % 4 == 3, F.array(F.concat(F.lit("only"), b))).otherwise(F.array(F.lit("col_1"), F.lit("col_2")))
-    return tables.carried_columns(pages.select("file_id", "page", F.lit(1).alias("table_index"), head.alias("columns"))).select("file_id", "page", "used_columns")
+    b, k = F.floor(F.col("page") / 9).cast("string"), F.col("page") % 9
+    named = lambda prefix: F.concat(F.lit(prefix), b)
+    head = (
+        F.when(k == 1, F.array(named("key"), F.lit("name"))).when(k == 3, F.array(named("only"))).when(k == 5, F.array(F.lit("col_1"), named("part"))).when(k == 6, F.array(*map(F.lit, ("col_1", "col_2", "col_3"))))
+        .when(k == 7, F.array(F.lit("a"), F.lit("col_2"), named("c"))).otherwise(F.array(F.lit("col_1"), F.lit("col_2")))
+    )
+    return tables.carried_columns(pages.select("file_id", "page", F.lit(1).alias("table_index"), head.alias("columns"), (F.col("page") % 18 != 7).alias("has_rows"))).select("file_id", "page", "used_columns")
 
 
 @query("""
@@ -318,16 +365,26 @@ def table_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE l AS (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n, '| ' || p_partkey || ' | ' || trim(p_name) || ' | ' || trim(p_type) || ' |' AS line FROM part),
-w AS (SELECT p_brand, n, length(line) + 1 AS chars, 1 AS lines, 1 AS batch, line FROM l WHERE n = 1
- UNION ALL SELECT l.p_brand, l.n, CASE WHEN w.lines < 25 AND w.chars + length(l.line) + 1 <= 650 THEN w.chars + length(l.line) + 1 ELSE length(l.line) + 1 END, CASE WHEN w.lines < 25 AND w.chars + length(l.line) + 1 <= 650 THEN w.lines + 1 ELSE 1 END,
- CASE WHEN w.lines < 25 AND w.chars + length(l.line) + 1 <= 650 THEN w.batch ELSE w.batch + 1 END, l.line FROM w JOIN l ON l.p_brand = w.p_brand AND l.n = w.n + 1)
-SELECT p_brand AS file_id, min(n) || '-' || max(n) AS row_range,
- '[PDF Table | Page: 1 | Table: 1 | Rows: ' || min(n) || '-' || max(n) || ' | Columns: key, name, type]' || chr(10) || '| key | name | type |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY n) AS text
-FROM w GROUP BY p_brand, batch""")
+WITH RECURSIVE r AS (SELECT p_brand, CAST((row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 30 + 1 AS INTEGER) AS page, p_partkey, '| ' || p_partkey || ' | ' || trim(p_name) || ' | ' || trim(p_type) || ' |' AS line FROM part),
+x AS (SELECT p_brand, page, 1 AS kind, p_partkey, line FROM r UNION ALL SELECT DISTINCT p_brand, page, 0, 0, '| col_1 | Body text | more |' FROM r WHERE page % 2 = 0
+ UNION ALL SELECT DISTINCT p_brand, page, 2, 0, '|  |  |  |' FROM r),
+l AS (SELECT p_brand, page, line, row_number() OVER (PARTITION BY p_brand, page ORDER BY kind, p_partkey) AS n FROM x),
+w AS (SELECT p_brand, page, n, length(line) + 1 AS chars, 1 AS lines, 1 AS batch, line FROM l WHERE n = 1
+ UNION ALL SELECT l.p_brand, l.page, l.n, CASE WHEN w.lines < 25 AND w.chars + length(l.line) + 1 <= 650 THEN w.chars + length(l.line) + 1 ELSE length(l.line) + 1 END, CASE WHEN w.lines < 25 AND w.chars + length(l.line) + 1 <= 650 THEN w.lines + 1 ELSE 1 END,
+ CASE WHEN w.lines < 25 AND w.chars + length(l.line) + 1 <= 650 THEN w.batch ELSE w.batch + 1 END, l.line FROM w JOIN l ON l.p_brand = w.p_brand AND l.page = w.page AND l.n = w.n + 1)
+SELECT p_brand AS file_id, page, min(n) || '-' || max(n) AS row_range,
+ '[PDF Table | Page: ' || page || ' | Table: 1 | Rows: ' || min(n) || '-' || max(n) || ' | Columns: key, name, type]' || chr(10) || '| key | name | type |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY n) AS text
+FROM w GROUP BY p_brand, page, batch""")
 def table_serialize_full(spark: SparkSession, sf: str) -> DataFrame:
-    raw = _part_tables(spark, sf).select(F.col("p_brand").alias("file_id"), F.lit(1).alias("page"), F.lit(1).alias("table_index"), F.array(F.lit("key"), F.lit("name"), F.lit("type")).alias("header"), "rows")
-    return tables.serialised(raw).select("file_id", "row_range", "text")
+    """Parts by brand as files whose table runs on over pages of thirty rows and a blank one: a real header first, then by turns a body row taken for a header and made-up names."""
+    place = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    paged = table(spark, sf, "part").withColumn("page", F.floor((place - 1) / 30).cast("int") + 1)
+    cells = F.array(F.col("p_partkey").cast("string"), "p_name", "p_type")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", cells.alias("cells")))), lambda x: x["cells"])
+    raw = paged.groupBy(F.col("p_brand").alias("file_id"), "page").agg(F.concat(rows, F.array(F.array(F.lit(" "), F.lit(None).cast("string"), F.lit("")))).alias("rows"))
+    names = lambda *n: F.array(*map(F.lit, n))
+    header = F.when(F.col("page") == 1, names("key", "name", "type")).when(F.col("page") % 2 == 0, names("col_1", "Body text", "more")).otherwise(names("col_1", "col_2", "col_3"))
+    return tables.serialised(raw.select("file_id", "page", F.lit(1).alias("table_index"), header.alias("header"), "rows")).select("file_id", "page", "row_range", "text")
 
 
 # geometry and layout, on boxes made of order lines
@@ -423,10 +480,30 @@ def geo_fallback_sort(spark: SparkSession, sf: str) -> DataFrame:
     return boxes(spark, sf).select("page", *keys, F.row_number().over(order).alias("place"))
 
 
-@query()
+_KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT l_orderkey // 4 AS page, * EXCLUDE (page) FROM ({_BOX})),
+r AS (
+ SELECT *, row_number() OVER (PARTITION BY page ORDER BY {_KEYS}) AS rank, [0::BIGINT] AS path, 0 AS step, count(*) OVER (PARTITION BY page) = 1 AS done FROM e
+ UNION ALL
+ SELECT page, {_KEYS}, x0, y0, x1, y1, new_rank, CASE WHEN stop THEN path ELSE list_append(path, place) END, step + 1, stop OR members = 1
+ FROM (SELECT *, CASE WHEN step % 2 = 0 OR parts = 1 OR blocked THEN part ELSE dense_rank() OVER (PARTITION BY page, path ORDER BY left_x, part) END AS place,
+   CASE WHEN parts = 1 OR (step % 2 = 1 AND blocked) THEN rank ELSE axis_rank END AS new_rank, step % 2 = 1 AND (parts = 1 OR blocked) AS stop,
+   count(*) OVER (PARTITION BY page, path, CASE WHEN step % 2 = 1 AND blocked THEN 0 ELSE part END) AS members
+  FROM (SELECT *, max(part) OVER (PARTITION BY page, path) + 1 AS parts, min(x0) OVER (PARTITION BY page, path, part) AS left_x
+   FROM (SELECT *, CAST(sum(coalesce(CAST(low > reach + gap AS INTEGER), 0)) OVER (PARTITION BY page, path ORDER BY axis_rank) AS BIGINT) AS part, bool_or(x1 - x0 >= 0.65 * 560) OVER (PARTITION BY page, path) AS blocked
+    FROM (SELECT *, max(high) OVER (PARTITION BY page, path ORDER BY axis_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+     FROM (SELECT *, row_number() OVER (PARTITION BY page, path ORDER BY low, rank) AS axis_rank
+      FROM (SELECT *, CASE WHEN step % 2 = 0 THEN y0 ELSE x0 END AS low, CASE WHEN step % 2 = 0 THEN y1 ELSE x1 END AS high, CASE WHEN step % 2 = 0 THEN 0.015 * 760 ELSE 0.02 * 560 END AS gap FROM r WHERE NOT done))))))
+)
+SELECT page, {_KEYS}, CAST(row_number() OVER (PARTITION BY page ORDER BY path, round_even(y0 / 7.6, 0), x0, rank) - 1 AS INTEGER) AS reading_order FROM r WHERE done""")
 def geo_xycut(spark: SparkSession, sf: str) -> DataFrame:
-    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-    return layout.reading_order(boxes(spark, sf), ["page"], keys).select("page", *keys, "reading_order")
+    """Order lines as boxes on pages of four orders, put in reading order by recursive cuts."""
+    keys = _KEYS.split(", ")
+    pages = boxes(spark, sf).withColumn("page", F.floor(F.col("l_orderkey") / 4))
+    return layout.reading_order(pages, ["page"], keys).select("page", *keys, "reading_order")
 
 
 @query("""
@@ -439,17 +516,23 @@ def img_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return layout.image_candidates(images, ["page"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], share=0.002, most=2).select("page", "xref", "l_linenumber", "image_index")
 
 
-@query("SELECT l_orderkey AS page, l_linenumber AS image_index, '[Image | Page: ' || l_orderkey || ' | Image: ' || l_linenumber || ']' || chr(10) || 'image ' || substr(sha256(CAST(l_partkey AS VARCHAR)), 1, 8) AS text FROM lineitem WHERE l_linenumber <> 3")
+@query("""SELECT l_orderkey AS page, l_linenumber AS image_index, '[Image Description | Page: ' || l_orderkey || ' | Image: ' || l_linenumber || ']' || chr(10) || 'image ' || substr(sha256(CAST(l_partkey AS VARCHAR)), 1, 8) AS text
+FROM lineitem WHERE l_linenumber NOT IN (3, 4)""")
 def image_body_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Third images have no description, fourth ones an empty one; the others' are padded."""
     images = boxes(spark, sf).select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("image_index"), "l_partkey")
-    seen = F.when(F.col("image_index") != 3, services.vision("stub")(F.col("l_partkey").cast("string")))
+    seen = F.when(F.col("image_index") == 4, "").when(F.col("image_index") != 3, F.concat(F.lit(" \n"), services.vision("stub")(F.col("l_partkey").cast("string")), F.lit("\t ")))
     return layout.described_elements(images, seen).select("page", "image_index", "text")
 
 
-@query("SELECT l_orderkey AS page, '[Page Scan | Page: ' || l_orderkey || ']' || chr(10) || 'image ' || substr(sha256(CAST(l_orderkey AS VARCHAR)), 1, 8) AS text FROM lineitem GROUP BY l_orderkey HAVING max(l_linenumber) >= 5")
+@query("""SELECT l_orderkey AS page, '[Page Scan | Page: ' || l_orderkey || ']' || chr(10) || 'image ' || substr(sha256(CAST(l_orderkey AS VARCHAR)), 1, 8) || ' goes on' AS text, 600.0::DOUBLE AS right_x
+FROM lineitem GROUP BY l_orderkey HAVING max(l_linenumber) >= 5 AND max(l_linenumber) <> 6""")
 def image_scan_elements(spark: SparkSession, sf: str) -> DataFrame:
-    pages = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg((F.max("l_linenumber") >= 5).alias("is_scanned"))
-    return layout.scan_elements(pages, services.vision("stub")(F.col("page").cast("string"))).select("page", "text")
+    """Scans' texts come cleaned, with the page as their box; some pages are read as nothing."""
+    pages = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.max("l_linenumber").alias("most"), (F.max("l_linenumber") >= 5).alias("is_scanned"))
+    sized = pages.withColumns({"page_w": F.lit(600.0), "page_h": F.lit(800.0)})
+    read = F.when(F.col("most") == 6, "").otherwise(F.concat(F.lit("  "), services.vision("stub")(F.col("page").cast("string")), F.lit(" \ngoes \u0007 on ")))
+    return layout.scan_elements(sized, read).select("page", "text", F.col("bbox.x1").alias("right_x"))
 
 
 @query("""SELECT p_partkey, CAST(greatest(1, floor(w * least(1, 1600.0::DOUBLE / greatest(w, h)))) AS INTEGER) AS width, CAST(greatest(1, floor(h * least(1, 1600.0::DOUBLE / greatest(w, h)))) AS INTEGER) AS height
@@ -479,14 +562,15 @@ def page_reading_sort(spark: SparkSession, sf: str) -> DataFrame:
     return layout.page_order(e, "l_suppkey", "page", keys).select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "position")
 
 
-@query(f"""SELECT doc_id, b.pos AS block_no, b.line AS text FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {{'pos': i - 1, 'line': x}})) AS b FROM documents)
-WHERE b.pos % 4 <> 3 AND {strip_sql('b.line')} <> ''""")
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 1 THEN p_name || ' end' WHEN 2 THEN 'example ' || p_name ELSE 'one ' || p_name || ' two' END AS text FROM part WHERE p_partkey % 5 IN (1, 2, 4)""")
 def block_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines as blocks of spans, every fourth an image block."""
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_no", "line"))
-    spans = F.array(F.array(F.substring("line", 1, 7), F.expr("substring(line, 8)")))
-    blocks = lines.select("doc_id", "block_no", F.when(F.col("block_no") % 4 == 3, 1).otherwise(0).alias("block_type"), text.block_text(spans).alias("text"))
-    return layout.clean_blocks(blocks).select("doc_id", "block_no", "text")
+    """Blocks of spans: of control characters only, with odd spacing, with a cut word, of another type, and with a wrapped line."""
+    n, name = F.col("p_partkey") % 5, F.col("p_name")
+    one = lambda *spans: F.array(F.array(*[s if isinstance(s, Column) else F.lit(s) for s in spans]))
+    two = lambda a, b: F.concat(one(*a), one(*b))
+    spans = F.when(n == 0, one(" \u0001", "​ ")).when(n == 1, one("  ", name, " \t  end ")).when(n == 2, two(["exam-"], ["ple ", name])).when(n == 3, one(name)).otherwise(two(["one"], [name, " two"]))
+    blocks = table(spark, sf, "part").select("p_partkey", F.when(n == 3, 1).otherwise(0).alias("block_type"), text.block_text(spans).alias("text"))
+    return layout.clean_blocks(blocks).select("p_partkey", "text")
 
 
 @query("SELECT doc_id, strlen(text) AS n_bytes, strlen(text) <= 1000 AS fits FROM documents WHERE text IS NOT NULL")

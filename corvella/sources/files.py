@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+from pandas._libs.parsers import STR_NA_VALUES
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,13 +77,67 @@ def docx_text(data: bytes) -> str:
     return "\n\n".join(out)
 
 
+# Built-in number formats of dates and times.
+_DATE_FORMATS = frozenset([14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47])
+_DAY_ZERO = pd.Timestamp("1899-12-30")
+
+
+def _date_styles(z: zipfile.ZipFile, names: set[str]) -> set[int]:
+    """Numbers of the cell styles that show dates or times."""
+    if "xl/styles.xml" not in names:
+        return set()
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId", "0")): re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.get("formatCode", "")) for f in root.iter(f"{_S}numFmt")}
+    dated = {i for i, code in own.items() if re.search("[dmyhs]", code, re.IGNORECASE)} | _DATE_FORMATS
+    styles = root.find(f"{_S}cellXfs")
+    return {i for i, x in enumerate(styles if styles is not None else []) if int(x.get("numFmtId", "0")) in dated}
+
+
+def _cell(kind: str | None, text: str, shared: list[str], dated: bool) -> object:
+    """A cell's value: whole numbers as such, dates as times, errors and the usual marks of missing values as nothing."""
+    if kind == "e":
+        return None
+    if kind in ("s", "str"):
+        value = shared[int(text)] if kind == "s" else text
+        return None if value in STR_NA_VALUES else value
+    if kind == "b":
+        return bool(int(text))
+    number = float(text)
+    if dated:
+        return (_DAY_ZERO + pd.Timedelta(days=number)).round("ms")
+    return int(number) if number == int(number) else number
+
+
+def _unique_names(header: list[object]) -> list[str]:
+    """Column names: missing ones say their place from 0, repeated ones get a number."""
+    out: list[str] = []
+    seen: dict[str, int] = {}
+    for i, h in enumerate(header):
+        name = f"Unnamed: {i}" if h is None else str(h)
+        n = seen.get(name, 0)
+        seen[name] = n + 1
+        out.append(f"{name}.{n}" if n else name)
+    return out
+
+
+def _typed(column: pd.Series) -> pd.Series:
+    """A column of numbers as such, written as text or not; with gaps its whole numbers become fractional ones."""
+    if any(isinstance(v, (bool, pd.Timestamp)) for v in column):
+        return column
+    try:
+        return pd.to_numeric(column)
+    except (TypeError, ValueError):
+        return column
+
+
 def xlsx_sheets(data: bytes) -> dict[str, pd.DataFrame]:
-    """Each sheet's rows under its first row's names; numbers as numbers, dates as the numbers they are stored as."""
+    """Each sheet's rows under its first row's names."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_S}si")]
+        dates = _date_styles(z, names)
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         sheets = {}
         for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet"):
@@ -101,13 +156,13 @@ def xlsx_sheets(data: bytes) -> dict[str, pd.DataFrame]:
                         at -= 1
                     v, kind = c.find(f"{_S}v"), c.get("t")
                     if kind == "inlineStr":
-                        cells[at] = "".join(t.text or "" for t in c.iter(f"{_S}t"))
+                        cells[at] = _cell("str", "".join(t.text or "" for t in c.iter(f"{_S}t")), shared, False)
                     elif v is not None and v.text is not None:
-                        cells[at] = shared[int(v.text)] if kind == "s" else v.text if kind in ("str", "e") else bool(int(v.text)) if kind == "b" else float(v.text) if "." in v.text or "E" in v.text else int(v.text)
+                        cells[at] = _cell(kind, v.text, shared, int(c.get("s") or 0) in dates)
                 rows.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
             width = max(map(len, rows), default=0)
             rows = [r + [None] * (width - len(r)) for r in rows]
-            sheets[s.get("name") or ""] = pd.DataFrame(rows[1:], columns=[str(h) if h is not None else "" for h in rows[0]]).infer_objects() if rows else pd.DataFrame()
+            sheets[s.get("name") or ""] = pd.DataFrame(rows[1:], columns=_unique_names(rows[0]), dtype=object).apply(_typed) if rows else pd.DataFrame()
     return sheets
 
 
@@ -126,7 +181,7 @@ def read_csv(data: bytes) -> pd.DataFrame:
 def table_documents(frame: pd.DataFrame) -> list[dict[str, object]]:
     """Rows of a table, those without any value dropped, as documents of fifty rows."""
     frame = frame.dropna(how="all").reset_index(drop=True)
-    columns = [str(c).strip() or f"column_{i}" for i, c in enumerate(frame.columns, 1)]
+    columns = [str(c).strip() if pd.notna(c) else f"column_{i}" for i, c in enumerate(frame.columns)]
     out = []
     for at in range(0, len(frame), ROWS_PER_DOCUMENT):
         part = frame.iloc[at : at + ROWS_PER_DOCUMENT]

@@ -37,12 +37,44 @@ def test_table_header_states(spark):
     assert got == {("f", 1): ["id", "name"], ("f", 2): ["id", "name"], ("f", 3): ["only"], ("f", 4): ["col_1", ""], ("g", 1): ["col_1", "x"]}
 
 
+def _tabled(spark, *pages):
+    rows = [("f", p, 1, header, body) for p, (header, body) in enumerate(pages, 1)]
+    found = tables.serialised(spark.createDataFrame(rows, schemas.RAW_TABLES)).orderBy("page", "row_range").collect()
+    return [(r.page, r.row_range, r.columns, r.text.split("\n")[1:]) for r in found]
+
+
+def test_mistaken_headers_go_back_to_the_body(spark):
+    got = _tabled(spark, (["a", "b"], [["1", "2"]]), (["col_1", "Body text row"], [["3", "4"]]), (["", "Last"], [[None, None]]))
+    assert [g[2] for g in got] == [["a", "b"]] * 3
+    assert got[1][3] == ["| a | b |", "| --- | --- |", "| col_1 | Body text row |", "| 3 | 4 |"] and got[1][1] == "1-2"
+    assert got[2][3][2:] == ["|  | Last |", "|  |  |"]
+
+
+def test_headers_made_up_as_a_whole_are_not_held(spark):
+    got = _tabled(spark, (["a", "b"], [["1", "2"]]), (["col_1", "col_2", "col_3"], [["1", "2", "3"]]), (["col_1", "col_2"], [["3", "4"]]), (["x", "y"], []), (["col_1", "col_2"], [["5", "6"]]))
+    assert [(g[0], g[2]) for g in got] == [(1, ["a", "b"]), (2, ["col_1", "col_2", "col_3"]), (3, ["a", "b"]), (5, ["a", "b"])]
+
+
+def test_first_rows_as_headers_over_page_ends(spark):
+    got = _tabled(spark, (["a", "b"], [["1", "2"]]), (["", " "], [["", "more"]]))
+    assert got[1][2] == ["a", "b"] and got[1][3][2:] == ["|  | more |"]  # the only row was taken for the header
+
+
+def test_one_file_with_many_pages(spark):
+    n = 3000
+    df = spark.range(1, n + 1).selectExpr("'f' AS file_id", "cast(id AS int) AS page", "1 AS table_index", "CASE WHEN id % 700 = 1 THEN array('k' || id, 'v') ELSE array('col_1', 'col_2') END AS columns")
+    got = {r.page: r.used_columns[0] for r in tables.carried_columns(df).collect()}
+    assert got == {p: f"k{(p - 1) // 700 * 700 + 1}" for p in range(1, n + 1)}
+
+
 def test_ledger_life(spark):
     base = spark.createDataFrame([], schemas.LEDGER)
-    tasks = spark.createDataFrame([("t", "h1"), ("t", "h1"), ("t", "h2")], "task_name string, task_args_hash string").withColumn("status", F.lit("PENDING"))
-    one = ledger.recorded(base, tasks)
-    assert one.count() == 2 and ledger.recorded(one, tasks).count() == 2
+    tasks = spark.createDataFrame([("t", "h1"), ("t", "h1"), ("t", "h2")], "task_name string, task_args_hash string")
     now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    one = ledger.recorded(base, tasks, now)
+    assert one.count() == 2 and ledger.recorded(one, tasks, now).count() == 2
+    assert {(r.status, r.started_at is not None) for r in one.collect()} == {("PENDING", True)}
+    assert ledger.decisions(tasks.distinct(), one, now).where("run").count() == 0  # what has just been entered doesn't run again
     entry = one.where("task_args_hash = 'h1'").withColumn("execution_id", F.lit(1))
     begun = ledger.updated(entry, spark.createDataFrame([(1, "STARTED", "")], "execution_id int, new_status string, new_result string"), now).first()
     assert begun.status == "STARTED" and begun.started_at is not None and begun.completed_at is None

@@ -59,6 +59,31 @@ def test_files(spark, tmp_path):
     assert docs["f.docx"][0].page_content is None and docs["f.docx"][0].error
 
 
+def test_excel_cells():
+    import pandas as pd
+
+    sheet = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    out = io.BytesIO(xlsx({"S": [["a", "a"]]}))
+    with zipfile.ZipFile(out, "a") as z:
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{sheet}"><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm"/><numFmt numFmtId="165" formatCode="0.0&quot;h&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>')
+    with zipfile.ZipFile(out) as z:
+        parts = {n: z.read(n) for n in z.namelist()}
+    parts["xl/worksheets/s0.xml"] = (
+        f'<worksheet xmlns="{sheet}"><sheetData><row><c t="inlineStr"><is><t>a</t></is></c><c t="inlineStr"><is><t>a</t></is></c><c/><c t="inlineStr"><is><t>d</t></is></c></row>'
+        '<row><c s="1"><v>45292</v></c><c s="2"><v>45292.5</v></c><c s="3"><v>2.0</v></c><c t="e"><v>#N/A</v></c></row><row><c/><c/><c s="3"><v>3</v></c><c t="b"><v>1</v></c></row></sheetData></worksheet>'
+    ).encode()
+    new = io.BytesIO()
+    with zipfile.ZipFile(new, "w") as z:
+        for n, data in parts.items():
+            z.writestr(n, data)
+    frame = files.xlsx_sheets(new.getvalue())["S"]
+    assert frame.columns.tolist() == ["a", "a.1", "Unnamed: 2", "d"]
+    assert files.table_documents(frame)[0]["page_content"] == (
+        "Row 1:\na: 2024-01-01 00:00:00 | a.1: 2024-01-01 12:00:00 | Unnamed: 2: 2 | d: N/A\n\nRow 2:\na: N/A | a.1: N/A | Unnamed: 2: 3 | d: True"
+    )
+    assert files.table_documents(pd.DataFrame([[1, 2]], columns=[None, " b "]))[0]["page_content"] == "Row 1:\ncolumn_0: 1 | b: 2"
+
+
 def test_page_elements_plug_in(spark, tmp_path):
     (tmp_path / "p.pdf").write_bytes(b"2")
     found = files.read_files(spark, str(tmp_path))

@@ -46,8 +46,10 @@ def meta(**given):
     ("given_meta", "label"),
     [
         ({"source": "/d/k1_report.pdf", "page": 12, "content_type": "text"}, "report.pdf (Page: 12)"),
-        ({"source": "/d/k1_report.pdf", "page": 4, "table_index": 1, "row_range": "51-70"}, "report.pdf (Page: 4 | Table: 1 | Rows: 51-70)"),
-        ({"source": "/d/k1_report.pdf", "page": 8, "image_index": 2}, "report.pdf (Page: 8 | Image: 2)"),
+        ({"source": "/d/k1_report.pdf", "page": 4, "content_type": "table", "table_index": 1, "row_range": "51-70"}, "report.pdf (Page: 4 | Table: 1 | Rows: 51-70)"),
+        ({"source": "/d/k1_report.pdf", "page": 8, "content_type": "image", "image_index": 2}, "report.pdf (Page: 8 | Image: 2)"),
+        ({"source": "/d/k1_report.pdf", "page": 4, "content_type": "text", "table_index": 1}, "report.pdf (Page: 4)"), ({"source": "/d/k1_report.pdf", "page": 4, "content_type": "table", "table_index": 0}, "report.pdf (Page: 4)"),
+        ({"source": "d\\k1_a.pdf"}, "a.pdf"),
         ({"source": "/d/k1_report.pdf", "page": 1, "content_type": "page_scan"}, "report.pdf (Page: 1 | Scanned Page)"),
         ({"source": "k_data.xlsx", "format": "structured_data", "sheet_name": "Q4", "row_range": "51-100"}, "data.xlsx (Sheet: Q4 | Rows: 51-100)"),
         ({"source": "my_report.pdf"}, "report.pdf"), ({"source": "k_"}, "k_"), ({}, "unknown"),
@@ -61,13 +63,14 @@ def test_args_hash(spark):
     import hashlib
     import json
 
-    told = {"b": 2, "a": None, "task_name": 'x "y" \\ z'}
-    got = one(spark, ledger.args_hash(F.lit('x "y" \\ z'), {"b": F.lit(2), "a": F.lit(None).cast("int")}))
+    told = {"b": 2, "a": None, "c": "k_é\n\x01😀", "d": True, "e": 1e20, "f": 0.1, "task_name": 'x "y" \\ z'}
+    args = {k: F.lit(v) for k, v in told.items() if k not in ("a", "task_name")}
+    got = one(spark, ledger.args_hash(F.lit('x "y" \\ z'), {**args, "a": F.lit(None).cast("int")}))
     assert got == hashlib.sha256(json.dumps(told, sort_keys=True).encode()).hexdigest()
 
 
 def test_urls_and_requests(spark):
-    for url, ok in (("http://localhost/x", False), ("ftp://a.com", False), ("https://a.example.com:8080/p?q", True), (None, False)):
+    for url, ok in (("http://a.com/a b", False), ("http://-a-.com", True), ("http://a.com", True), ("http://a.com/", True), ("http://a.com?q", False), ("http://localhost/x", False), ("ftp://a.com", False), ("https://a.example.com:8080/p?q", True), (None, False)):
         assert one(spark, predicates.valid_url(F.lit(url).cast("string"))) is ok
     ask = lambda t, n, lang: one(spark, predicates.search_problem(F.lit(t).cast("string"), F.lit(n).cast("int"), F.lit(lang).cast("string")))
     assert ask("q", 11, None) == "limit_too_high"

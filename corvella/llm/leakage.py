@@ -1,61 +1,81 @@
 """Passages of test items inside a corpus, by CGK embedding and bit-sampling LSH.
 
 Every window of ``window`` words of an item and of a document walks through the CGK embedding: three steps a word, at
-each the current word is put out and a random bit of that word decides whether to move on.  Windows at a small edit
+each the current word is put out and a random bit of that word decides whether to move on (walked as far as positions are sampled).  Windows at a small edit
 distance come out at a small Hamming distance; equal windows come out equal.  A repetition samples some positions of the output and hashes
 them; windows that share a hash in any repetition are candidates and are verified word by word, by an edit
-distance within the allowed number of edits.  Items are the stated query set: their windows go to all documents in blocks of bounded size.
+distance within the allowed number of edits.
+
+The documents are read once, however many items there are.  Bitmaps of bounded size, of the items' hashes and of their word triples, keep nearly all
+windows of the documents from leaving the task: one within e edits of an item's window shares all of its triples but 3 e.  The rest meet the
+items' windows in a join.  Windows that are equal are compared once, wherever they occur.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvella.llm.words import WORD, WordCodes, mix
+from corvella.llm.words import WORD, WordCodes, mix, shingle_codes
+from corvella.runtime import materialise
 
 STEPS_PER_WORD = 3
-SAMPLED = 6
-#: Item windows that are sent to the executors at once; larger sets of items go in several passes over the documents.
-BLOCK_WINDOWS = 500_000
+#: Positions of the embedding in a hash: where windows must be equal, more of them cost no case.
+SAMPLED, SAMPLED_EQUAL = 4, 12
+#: Steps a word among which positions are sampled: later on most walks have come to their end, and all windows look alike.
+TELLING_STEPS = 2
+GRAM = 3
+#: Bits in the bitmap of the items' hashes: BITS_PER_KEY for each, a power of two between these bounds.  Beyond them it lets more windows pass, and loses none.
+BITS_PER_KEY, LEAST_BITS, MOST_BITS = 64, 1 << 22, 1 << 28
+#: Rows of a hash or window beyond which they are dealt into shares, so that one that a third of all documents hold is no single task's.
+SHARE_ROWS = 10_000
 _SLICE_WORDS = 300_000
-_PAIRS = 100_000
+_WALKED, _ROWS = 8_192, 20_000
 
 
 def repetitions(window: int, edits: int, recall: float) -> int:
     """How often to sample so that a window at ``edits`` edits is met with the given probability.
 
-    The embeddings of texts at edit distance e differ in O(e*e) places, about 2 e (e + 1) on average over the walks; equal windows need one repetition.
+    The embeddings of texts at edit distance e differ in O(e*e) places, about 2 e (e + 1) on average over the walks, nearly all of them before the walks' end;
+    equal windows need one repetition.
     """
     if edits == 0:
         return 1
-    differ = min(0.9, 2 * edits * (edits + 1) / (STEPS_PER_WORD * window))
+    differ = min(0.9, 2 * edits * (edits + 1) / (TELLING_STEPS * window))
     hit = (1 - differ) ** SAMPLED
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
 
 
-def window_keys(codes: np.ndarray, starts: np.ndarray, window: int, repetition: int) -> np.ndarray:
+def window_keys(codes: np.ndarray, starts: np.ndarray, window: int, repetition: int, sampled: int = SAMPLED) -> np.ndarray:
     """The sampled hash of the embedding of each window ``codes[s : s + window]``."""
     rng = np.random.default_rng(1000 + repetition)
-    chosen = set(rng.choice(STEPS_PER_WORD * window, SAMPLED, replace=False).tolist())
-    steps = rng.integers(1, 1 << 63, STEPS_PER_WORD * window, dtype=np.int64).astype(np.uint64)
-    at = starts.astype(np.int64).copy()
-    end = at + window
+    chosen = sorted(rng.choice(TELLING_STEPS * window, min(sampled, TELLING_STEPS * window), replace=False).tolist())
+    # 64 random bits of each word at a time: bit j says whether a walk moves on from it at step j
+    seeds = rng.integers(1, 1 << 63, STEPS_PER_WORD * window // 64 + 1, dtype=np.int64).astype(np.uint64)
     padded = np.concatenate([codes, np.zeros(1, np.uint64)])
+    steps = chosen[-1] + 1
+    moves = np.empty((steps, len(padded)), np.uint8)
+    for j in range(steps):
+        if j % 64 == 0:
+            bits = mix(padded ^ seeds[j // 64])
+        np.copyto(moves[j], (bits >> np.uint64(j % 64)) & np.uint64(1), casting="unsafe")
     out = np.full(len(starts), repetition + 1, np.uint64)
-    for j in range(max(chosen) + 1):
-        inside = at < end
-        word = np.where(inside, padded[np.minimum(at, len(codes))], np.uint64(0))
-        if j in chosen:
-            out = mix(out ^ (word + np.uint64(j)))
-        # the top bit of a product with an odd number depends on all lower bits of the word
-        at += inside & ((word * (steps[j] | np.uint64(1))) >> np.uint64(63)).astype(bool)
+    for i in range(0, len(starts), _WALKED):
+        at = starts[i : i + _WALKED].astype(np.int64)
+        end = at + window
+        key = out[i : i + _WALKED]
+        for j in range(steps):
+            if j in chosen:
+                word = np.where(at < end, padded[at], np.uint64(0))
+                key[:] = mix(key ^ (word + np.uint64(j)))
+            at += moves[j].take(at)
+            np.minimum(at, end, out=at)
     return out
 
 
@@ -87,67 +107,74 @@ def within_reach(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, w
     return found.sum(axis=1) >= window - edits
 
 
-class _Items:
-    """The windows of a block of items, by key."""
-
-    def __init__(self, rows: list[tuple[object, list[str]]], window: int, reps: int) -> None:
-        coder = WordCodes()
-        self.words = [w for _, w in rows]
-        self.ids = [i for i, _ in rows]
-        codes = coder.codes([x for w in self.words for x in w])
-        ends = np.concatenate([[0], np.cumsum([len(w) for w in self.words])]).astype(np.int64)
-        starts, self.item, self.offset = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for k, w in enumerate(self.words):
-            n = len(w) - window + 1
-            if n > 0:
-                starts.append(ends[k] + np.arange(n))
-                self.item.append(np.full(n, k))
-                self.offset.append(np.arange(n))
-        s = np.concatenate(starts)
-        self.item, self.offset = np.concatenate(self.item), np.concatenate(self.offset)
-        self.codes, self.starts = codes, s
-        self.tables = []
-        for r in range(reps):
-            keys = window_keys(codes, s, window, r)
-            order = np.argsort(keys, kind="stable")
-            seen = np.zeros(1 << 20, bool)  # most of a document's windows end here
-            seen[(keys >> np.uint64(44)).astype(np.int64)] = True
-            self.tables.append((keys[order], order, seen))
-
-    def matches(self, keys: np.ndarray, rep: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the asked windows and of the item windows that share their key."""
-        known, order, seen = self.tables[rep]
-        maybe = np.flatnonzero(seen[(keys >> np.uint64(44)).astype(np.int64)])
-        lo, hi = np.searchsorted(known, keys[maybe], "left"), np.searchsorted(known, keys[maybe], "right")
-        n = hi - lo
-        asked = np.repeat(maybe, n)
-        at = np.repeat(lo, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        return asked, order[at]
-
-
-def _search(batches: Iterator[pd.DataFrame], items: _Items, window: int, edits: int, reps: int) -> Iterator[pd.DataFrame]:
+class Bitmap:
+    """Which of many 64-bit hashes may be known: each has two bits."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+        self.mask = np.uint64(64 * len(words) - 1)
+
+    def __contains__(self, key: int) -> bool:
+        return bool(self.has(np.array([key], np.uint64))[0])
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        one = keys & self.mask
+        maybe = np.flatnonzero((self.words[(one >> np.uint64(6)).astype(np.int64)] >> (one & np.uint64(63))) & np.uint64(1))
+        two = (keys[maybe] >> np.uint64(32)) & self.mask
+        out = np.zeros(len(keys), bool)
+        out[maybe] = ((self.words[(two >> np.uint64(6)).astype(np.int64)] >> (two & np.uint64(63))) & np.uint64(1)).astype(bool)
+        return out
+
+
+def bitmap(windows: DataFrame) -> Bitmap:
+    """The bitmap of the hashes in ``windows``; put together by slots, only words that are not zero come to the driver."""
+    keys = windows.count()
+    size = max(min(LEAST_BITS, MOST_BITS), min(MOST_BITS, 1 << (max(1, keys * BITS_PER_KEY) - 1).bit_length()))
+    one = F.col("hash").bitwiseAND(F.lit(size - 1))
+    two = F.shiftrightunsigned("hash", 32).bitwiseAND(F.lit(size - 1))
+    places = windows.select(F.explode(F.array(one, two)).alias("place"))
+    slots = places.select(F.shiftright("place", 6).alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int")).alias("bits"))
+    found = slots.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(size // 64, np.uint64)
+    words[found["slot"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return Bitmap(words)
+
+
+def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """hash: the word triples of the texts."""
     coder = WordCodes()
+    for pdf in batches:
+        texts = [WORD.findall(t.lower()) for t in pdf["text"]]
+        found, _ = shingle_codes(coder.codes([x for w in texts for x in w]), np.concatenate([[0], np.cumsum([len(w) for w in texts])]).astype(np.int64), GRAM)
+        yield pd.DataFrame({"hash": np.unique(found).view(np.int64)})
+
 
-    def run(keys: list[object], texts: list[list[str]]) -> pd.DataFrame:
+def _windows(batches: Iterator[pd.DataFrame], window: int, edits: int, reps: int, sent: object = None) -> Iterator[pd.DataFrame]:
+    """key, hash, words: windows of the texts, each text's equal ones once.  ``sent`` holds the bitmaps of hashes and triples that let a window pass."""
+    sampled = SAMPLED if edits else SAMPLED_EQUAL
+    known, grams = sent.value if sent is not None else (None, None)
+    coder = WordCodes()
+
+    def run(keys: list[object], texts: list[list[str]]) -> Iterator[pd.DataFrame]:
         words = [x for w in texts for x in w]
         codes = coder.codes(words)
         ends = np.concatenate([[0], np.cumsum([len(w) for w in texts])]).astype(np.int64)
         owner = np.repeat(np.arange(len(texts)), np.diff(ends))
-        starts = np.flatnonzero(owner[: len(words) - window + 1] == owner[window - 1 :]) if len(words) >= window else np.empty(0, np.int64)
-        best: dict[tuple[int, int], int] = {}
+        starts = np.flatnonzero(owner[: len(words) - window + 1] == owner[window - 1 :])
+        alike = np.ones(len(starts), bool)
+        if grams is not None and len(starts):
+            met = np.concatenate([[0], np.cumsum(grams.has(shingle_codes(codes, np.array([0, len(codes)]), GRAM)[0]))])
+            alike = met[starts + window - GRAM + 1] - met[starts] >= window - GRAM + 1 - GRAM * edits
+        rows: dict[tuple[int, int, str], None] = {}
         for r in range(reps):
-            asked, theirs = items.matches(window_keys(codes, starts, window, r), r)
-            for at in range(0, len(asked), _PAIRS):
-                mine, item = starts[asked[at : at + _PAIRS]], items.starts[theirs[at : at + _PAIRS]]
-                close = within_reach(codes, mine, items.codes, item, window, edits)
-                for s, k in zip(mine[close].tolist(), theirs[at : at + _PAIRS][close].tolist()):
-                    pair = (int(owner[s]), int(items.item[k]))
-                    if best.get(pair, edits + 1) > 0:
-                        o = int(items.offset[k])
-                        d = edit_distance(words[s : s + window], items.words[pair[1]][o : o + window], edits)
-                        if d <= edits:
-                            best[pair] = min(best.get(pair, d), d)
-        return pd.DataFrame({"key": [keys[d] for d, _ in best], "item": [items.ids[i] for _, i in best], "edits": np.array(list(best.values()), "int32")})
+            hashes = window_keys(codes, starts, window, r, sampled)
+            hit = np.arange(len(starts)) if known is None else np.flatnonzero(known.has(hashes) & alike)
+            for s, h in zip(starts[hit].tolist(), hashes[hit].view(np.int64).tolist()):
+                rows[int(owner[s]), h, " ".join(words[s : s + window])] = None
+        found = list(rows)
+        for at in range(0, len(found), _ROWS):
+            part = found[at : at + _ROWS]
+            yield pd.DataFrame({"key": pd.Series([keys[d] for d, _, _ in part], dtype=object), "hash": np.array([h for _, h, _ in part], np.int64), "words": pd.Series([w for _, _, w in part], dtype=object)})
 
     for pdf in batches:
         keys, texts, n = [], [], 0
@@ -157,33 +184,84 @@ def _search(batches: Iterator[pd.DataFrame], items: _Items, window: int, edits:
                 keys.append(k), texts.append(w)
                 n += len(w)
             if n >= _SLICE_WORDS:
-                yield run(keys, texts)
+                yield from run(keys, texts)
                 keys, texts, n = [], [], 0
         if keys:
-            yield run(keys, texts)
+            yield from run(keys, texts)
+
+
+def few_edits(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
+    """Edit distances of rows of word codes of one length as far as they are at most 2; larger ones as 3 (those above ``edits`` may be too).
+
+    Rows of equal length are 1 apart by one changed word, and 2 apart by two, or by one left out and one put in.
+    """
+    n = a.shape[1]
+    other = a != b
+    changed = other.sum(axis=1)
+    out = np.minimum(changed, 3)
+    if edits >= 2 and n > 1:
+        first, last = other.argmax(axis=1), n - 1 - other[:, ::-1].argmax(axis=1)
+        for x, y in ((a, b), (b, a)):
+            off = np.concatenate([np.zeros((len(a), 1), np.int64), np.cumsum(x[:, 1:] != y[:, :-1], axis=1)], axis=1)
+            rows = np.arange(len(a))
+            out = np.where((out > 2) & (off[rows, last] == off[rows, first]), 2, out)
+    return out
+
+
+def _verified(batches: Iterator[pd.DataFrame], window: int, edits: int) -> Iterator[pd.DataFrame]:
+    coder = WordCodes()
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        a, b = [w.split(" ") for w in pdf["words"]], [w.split(" ") for w in pdf["theirs"]]
+        x, y = (coder.codes([v for w in part for v in w]).reshape(-1, window) for part in (a, b))
+        told = few_edits(x, y, edits)
+        if edits > 2:  # the rest word by word
+            at = np.arange(len(pdf)) * window
+            far = np.flatnonzero(told > 2)
+            told[far] = edits + 1
+            for i in far[within_reach(x.ravel(), at[far], y.ravel(), at[far], window, edits)]:
+                told[i] = edit_distance(a[i], b[i], edits)
+        near = np.flatnonzero(told <= edits)
+        yield pdf.iloc[near][["words", "item"]].assign(edits=told[near].astype("int32"))
 
 
 def leaked_items(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, window: int = 13, edits: int = 0, recall: float = 0.95) -> DataFrame:
     """key, item, edits: documents with a window of ``window`` words within ``edits`` edits of a window of the item (the fewest found).
 
     With no edits allowed every case is found; else a case is found with probability ``recall`` or more, by a single pair of windows.
-    Null texts, texts and items of fewer than ``window`` words give no rows; a repeated row does not repeat its cases.
+    Null texts, texts and items of fewer than ``window`` words give no rows; a repeated row does not repeat its cases.  Any number of items and
+    documents: neither is gathered anywhere.
     """
     reps = repetitions(window, edits, recall)
-    rows = [(r[0], WORD.findall(r[1].lower())) for r in items.select(item, item_text).where(F.col(item_text).isNotNull()).distinct().toLocalIterator()]
-    blocks: list[list[tuple[object, list[str]]]] = [[]]
-    held = 0
-    for i, w in sorted(rows, key=lambda x: str(x[0])):
-        held += len(w) * reps
-        if held > BLOCK_WINDOWS and blocks[-1]:
-            blocks.append([])
-            held = len(w) * reps
-        blocks[-1].append((i, w))
-    source = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where(F.length("text") >= 2 * window - 1)
-    schema = f"key {source.schema['key'].dataType.simpleString()}, item {items.schema[item].dataType.simpleString()}, edits int"
-
-    def search(block: list[tuple[object, list[str]]]) -> DataFrame:
-        sent = docs.sparkSession.sparkContext.broadcast(_Items(block, window, reps))
-        return source.mapInPandas(lambda batches: _search(batches, sent.value, window, edits, reps), schema)
-
-    return reduce(DataFrame.unionByName, map(search, blocks)).groupBy("key", "item").agg(F.min("edits").alias("edits"))
+
+    def texts(df: DataFrame, name: str, body: str) -> DataFrame:
+        return df.select(F.col(f"`{name}`").alias("key"), F.col(f"`{body}`").alias("text")).where(F.length("text") >= 2 * window - 1)
+
+    def windows(source: DataFrame, **sent: object) -> DataFrame:
+        return source.mapInPandas(partial(_windows, window=window, edits=edits, reps=reps, **sent), f"key {source.schema['key'].dataType.simpleString()}, hash bigint, words string")
+
+    asked_for = texts(items, item, item_text)
+    theirs = materialise(windows(asked_for).distinct(), "itemwindows")
+    grams = bitmap(materialise(asked_for.mapInPandas(_grams, "hash bigint").distinct(), "itemgrams")) if window > GRAM else None
+    sent = docs.sparkSession.sparkContext.broadcast((bitmap(theirs.select("hash").distinct()), grams))
+    mine = materialise(windows(texts(docs, key, text), sent=sent), "hits")
+    # equal windows meet the items once; hashes meet first, the items' words follow
+    asked, held = mine.select("hash", "words").distinct(), theirs.select("hash", F.col("words").alias("theirs"), F.col("key").alias("item"))
+    pairs = _dealt(asked, held, "hash")
+    if edits:
+        kind = items.schema[item].dataType.simpleString()
+        close = pairs.select("words", "theirs", "item").distinct().mapInPandas(partial(_verified, window=window, edits=edits), f"words string, item {kind}, edits int")
+    else:
+        close = pairs.where("words = theirs").select("words", "item", F.lit(0).alias("edits"))
+    found = materialise(close.groupBy("words", "item").agg(F.min("edits").alias("edits")), "leaks")
+    return _dealt(mine.select("key", "words").distinct(), found, "words").groupBy("key", "item").agg(F.min("edits").alias("edits"))
+
+
+def _dealt(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Inner join in which the rows on the left of one value of ``on`` may be any number: beyond SHARE_ROWS they are dealt into shares, each of which meets the right's."""
+    hot = left.groupBy(on).agg(F.count("*").alias("_n")).where(F.col("_n") > SHARE_ROWS).select(on, F.ceil(F.col("_n") / SHARE_ROWS).cast("int").alias("_shares"))
+    shares = F.coalesce("_shares", F.lit(1))
+    a = left.join(hot, on, "left").withColumn("_share", F.pmod(F.xxhash64(*left.columns), shares).cast("int")).drop("_shares")
+    b = right.join(hot, on, "left").withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("_shares")
+    return a.join(b, [on, "_share"]).drop("_share")

@@ -108,8 +108,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that may be pages of scanned files: their metadata names PDF or nothing."""
-    return table(spark, sf_dir, "chunks").where(F.coalesce("chunk_metadata.format", F.lit("pdf")) == "pdf").select("chunk_id", "chunk_asset_id", "chunk_text")
+    return table(spark, sf_dir, "chunks").select("chunk_id", "chunk_asset_id", "chunk_text")
 
 
 def _page_marks(spark: SparkSession, sf_dir: str, counts: dict[str, int]) -> DataFrame:

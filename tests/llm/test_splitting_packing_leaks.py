@@ -160,12 +160,12 @@ def test_leaks_are_all_found(spark):
                     want.add((d, i))
     got = {(r.key, r.item) for r in leakage.leaked_items(df, "id", "body", queries, "item_id", "body").collect()}
     assert got == want and len(want) > 20
-    blocks = leakage.BLOCK_WINDOWS
+    bits, rows = leakage.MOST_BITS, leakage.SHARE_ROWS
     try:
-        leakage.BLOCK_WINDOWS = 100
+        leakage.MOST_BITS, leakage.SHARE_ROWS = 64, 3  # a bitmap that is full keeps nothing back; hot windows are dealt out
         assert {(r.key, r.item) for r in leakage.leaked_items(df, "id", "body", queries, "item_id", "body").collect()} == want
     finally:
-        leakage.BLOCK_WINDOWS = blocks
+        leakage.MOST_BITS, leakage.SHARE_ROWS = bits, rows
     assert leakage.leaked_items(df.limit(0), "id", "body", queries, "item_id", "body").count() == 0
     assert leakage.leaked_items(df, "id", "body", queries.limit(0), "item_id", "body").count() == 0
 
@@ -187,6 +187,45 @@ def test_edited_leaks_reach_the_recall(spark):
     assert all(k == i for k, i in got) and len(got) >= 0.9 * len(items)
 
 
+def test_planted_edits_reach_the_recall(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, draw(30)) for i in range(300)]
+    docs = []
+    for i, w in items:
+        edited = w[5:25]
+        for _ in range(i % 3):  # none, one or two words changed
+            edited[rng.randrange(20)] = rng.choice(vocabulary)
+        docs.append((i, " ".join(draw(20) + edited + draw(20))))
+    df = spark.createDataFrame(docs, "id int, body string")
+    queries = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id int, body string")
+    got = {(r.key, r.item): r.edits for r in leakage.leaked_items(df, "id", "body", queries, "item_id", "body", window=20, edits=2).collect()}
+    assert all(k == i for k, i in got)
+    for n in range(3):
+        cases = [i for i in range(n, 300, 3)]
+        assert sum((i, i) in got for i in cases) >= (0.95 if n else 1) * len(cases)
+        assert all(got[i, i] <= n for i in cases if (i, i) in got)
+
+
+def test_window_keys_follow_the_embedding():
+    rng = np.random.default_rng(2)
+    codes = rng.integers(1, 1 << 63, 200, dtype=np.int64).astype(np.uint64)
+    again = np.concatenate([codes[50:90], codes])
+    a, b = leakage.window_keys(codes, np.arange(50, 70), 20, 3), leakage.window_keys(again, np.arange(0, 20), 20, 3)
+    assert (a == b).all() and len(set(a.tolist())) > 5
+    many = leakage.window_keys(np.tile(codes, 100), np.arange(0, 19_000), 20, 3)
+    assert (many[:150] == leakage.window_keys(codes, np.arange(150), 20, 3)).all() and (many[200 * 45 : 200 * 45 + 150] == many[:150]).all()
+
+
+def test_few_edits_are_edit_distances():
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 4, (3000, 7)).astype(np.uint64)
+    b = np.where(rng.random(a.shape) < 0.15, rng.integers(0, 4, a.shape).astype(np.uint64), np.where(rng.random((len(a), 1)) < 0.5, a, np.roll(a, 1, axis=1)))
+    want = [min(3, leakage.edit_distance(x.tolist(), y.tolist(), 3)) for x, y in zip(a, b)]
+    assert leakage.few_edits(a, b, 2).tolist() == want and set(want) == {0, 1, 2, 3}
+
+
 def test_edit_distance():
     assert leakage.edit_distance(list("kitten"), list("sitting"), 3) == 3
     assert leakage.edit_distance(list("kitten"), list("sitting"), 2) == 3

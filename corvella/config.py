@@ -30,6 +30,9 @@ class Settings:
     task_seconds: int = 600
     task_grace_seconds: int = 60
     retention_seconds: int = 86_400
+    vision_retries: int = 3
+    answer_tokens: int = 1000
+    temperature: float = 0.1
     vector_backend: str = "pgvector"
     distance: str = "cosine"
     language: str = "en"

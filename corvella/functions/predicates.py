@@ -96,3 +96,19 @@ def backoff_bound(attempt: Column, base: float = 1.0, most: float = 30.0) -> Col
 def retry_after(header: Column, most: float = 30.0) -> Column:
     seconds = header.try_cast("double")
     return F.when(seconds >= 0, F.least(seconds, F.lit(most)))
+
+
+def pause(attempt: Column, told: Column, share: Column, base: float = 1.0, most: float = 30.0) -> Column:
+    """Seconds until the next try: what the service told, else a share (0 to 1) of the doubling bound; never more than ``most``."""
+    return F.least(F.when(told >= 0, told).otherwise(share * base * F.pow(F.lit(2.0), attempt)), F.lit(most))
+
+
+def tries_again(status: Column, message: Column, attempt: Column, most: int = DEFAULTS.vision_retries) -> Column:
+    """Whether a call that failed at its ``attempt`` (from 0) is made again."""
+    return retryable(status, message) & (attempt < most)
+
+
+def given_or(value: Column, default: Column | float) -> Column:
+    """A setting, or the default where it is null, zero or empty."""
+    default = default if isinstance(default, Column) else F.lit(default)
+    return F.when(value.isNull() | (value == F.lit(0)), default).otherwise(value)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corvella.functions import predicates
@@ -108,9 +108,16 @@ def without_project(chunks: DataFrame, project: int) -> DataFrame:
     return chunks.where(~F.coalesce(F.col("chunk_project_id") == project, F.lit(False)))
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Chunks by project, each project's files replaced as a whole."""
-    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk_project_id").parquet(path)
+def deleted_counts(chunks: DataFrame, project: int) -> DataFrame:
+    """How many chunks a reset of a project deletes."""
+    return chunks.agg(F.count(F.when(F.col("chunk_project_id") == project, 1)).alias("deleted"))
+
+
+def write_chunks(chunks: DataFrame, path: str) -> int:
+    """Chunks by project, each project's files replaced as a whole; returns how many were written."""
+    seen = Observation()
+    chunks.observe(seen, F.count("*").alias("rows")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk_project_id").parquet(path)
+    return int(seen.get["rows"])
 
 
 def registered(names: DataFrame, seed: str = "") -> DataFrame:

@@ -52,15 +52,32 @@ def register_vision(name: str) -> Callable[[Callable], Callable]:
     return _registered(_VISION, name)
 
 
+_WORD_CACHE = 200_000
+_word_vectors: dict[str, np.ndarray] = {}
+
+
+def _word_vector(word: str) -> np.ndarray:
+    """Signed counts of a word's hashed character triples; remembered by the worker up to a fixed number of words."""
+    found = _word_vectors.get(word)
+    if found is None:
+        if len(_word_vectors) >= _WORD_CACHE:
+            _word_vectors.clear()
+        found = np.zeros(EMBEDDING_SIZE, np.float32)
+        padded = f" {word} "
+        for k in range(len(padded) - 2):
+            h = xxhash.xxh3_64_intdigest(padded[k : k + 3])
+            found[h % EMBEDDING_SIZE] += 1 if h >> 63 else -1
+        _word_vectors[word] = found
+    return found
+
+
 @pandas_udf(ArrayType(FloatType()))
 def _hashed(text: pd.Series) -> pd.Series:
     out = np.zeros((len(text), EMBEDDING_SIZE), np.float32)
     for i, t in enumerate(text):
-        for w in (t or "").lower().split():
-            padded = f" {w} "
-            for k in range(len(padded) - 2):
-                h = xxhash.xxh3_64_intdigest(padded[k : k + 3])
-                out[i, h % EMBEDDING_SIZE] += 1 if h >> 63 else -1
+        words = (t or "").lower().split()
+        if words:
+            out[i] = np.sum([_word_vector(w) for w in words], axis=0)
     size = np.linalg.norm(out, axis=1, keepdims=True)
     return pd.Series(list(out / np.where(size == 0, 1, size)))
 

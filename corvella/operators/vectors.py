@@ -196,3 +196,37 @@ def aligned(texts: Column, vectors: Column, ids: Column) -> Column:
 def embedding_batches(rows: DataFrame, order: str, size: int = DEFAULTS.embed_batch) -> DataFrame:
     """batch_no, rows: how many rows each call of the embedding service gets."""
     return numbered(rows.select(order), [], [order], "n").groupBy(F.floor((F.col("n") - 1) / size).cast("int").alias("batch_no")).agg(F.count("*").alias("rows"))
+
+
+def created(registry: DataFrame, wanted: DataFrame, reset: bool = False) -> DataFrame:
+    """``wanted`` (collection, dim) with created: true where the registry (collection, dim, is_indexed) has no such collection, or where it is reset."""
+    known = registry.select("collection").distinct().withColumn("_known", F.lit(True))
+    asked = wanted.dropDuplicates(["collection"]).join(known, "collection", "left")
+    return asked.select("collection", "dim", (F.lit(reset) | F.col("_known").isNull()).alias("created"))
+
+
+def registered(registry: DataFrame, made: DataFrame) -> DataFrame:
+    """The registry after ``created``: new and reset collections have no index, all others stay as they are."""
+    fresh = made.where("created").select("collection", "dim", F.lit(False).alias("is_indexed"))
+    return registry.join(fresh.select("collection"), "collection", "left_anti").select("collection", "dim", "is_indexed").unionByName(fresh)
+
+
+def dropped(table: DataFrame, names: DataFrame) -> DataFrame:
+    """A registry, or rows with their collection, without the collections of these names; unknown names change nothing."""
+    return table.join(names.select("collection").distinct(), "collection", "left_anti")
+
+
+def admitted(registry: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (collection, vector, chunk_id) with admitted: their collection exists and has their vector's dimension, and they name a chunk."""
+    known = registry.select("collection", F.col("dim").alias("_dim"))
+    ok = F.coalesce((F.size("vector") == F.col("_dim")) & F.col("chunk_id").isNotNull(), F.lit(False))
+    return rows.join(known, "collection", "left").withColumn("admitted", ok).drop("_dim")
+
+
+def indexed(registry: DataFrame, rows: DataFrame, threshold: int = DEFAULTS.index_threshold, rebuild: bool = False) -> DataFrame:
+    """The registry with built: whether an index is made now, which it is for collections of at least ``threshold`` rows that have none or, if ``rebuild``, lose theirs first."""
+    counts = rows.groupBy("collection").agg(F.count("*").alias("_n"))
+    enough = F.coalesce(F.col("_n") >= threshold, F.lit(False))
+    built = enough & (F.lit(rebuild) | ~F.col("is_indexed"))
+    after = enough if rebuild else F.col("is_indexed") | enough
+    return registry.join(counts, "collection", "left").select("collection", "dim", built.alias("built"), after.alias("is_indexed"))

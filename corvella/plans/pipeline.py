@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvella.config import Settings
-from corvella.operators import catalog, chunking, retrieval, vectors
+from corvella.functions.text import strip
+from corvella.operators import catalog, chunking, ledger, retrieval, vectors
 
 DEFAULTS = Settings()
 
@@ -35,3 +36,20 @@ def process_and_index(documents: DataFrame, existing_chunks: DataFrame | None =
 
 def info(collection: DataFrame) -> DataFrame:
     return vectors.collection_info(collection)
+
+
+def index_tasks(chunks: DataFrame, known: DataFrame, task_name: str, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(tasks, rows): indexing of each project's chunks as a task, entered in the ledger ``known`` and run unless that forbids it.
+
+    tasks: project_key, run, status and result after it (counts as JSON; of tasks that did not run what the ledger has).  rows: the collection rows of those that ran.
+    Project and number of chunks are the task's arguments, so that a project whose chunks changed is a new task.
+    """
+    state = chunks.groupBy(F.col("chunk_project_id").alias("project_key")).agg(F.count("*").alias("chunks"))
+    asked = state.select("project_key", F.lit(task_name).alias("task_name"), ledger.args_hash(F.lit(task_name), {"project_id": F.col("project_key"), "chunks": F.col("chunks")}).alias("task_args_hash"))
+    decided = ledger.decisions(asked, known, now)
+    run = decided.where("run").select(F.col("project_key").alias("chunk_project_id"))
+    rows = retrieval.indexed(chunks.join(run, "chunk_project_id", "left_semi").where(strip(F.col("chunk_text")) != ""))
+    counts = rows.groupBy("project_key").agg(F.count("*").alias("inserted"))
+    told = F.to_json(F.struct(F.lit("indexed").alias("signal"), F.coalesce("inserted", F.lit(0)).alias("inserted_rows")))
+    after = decided.join(counts, "project_key", "left").select("project_key", "run", F.when(F.col("run"), F.lit("SUCCESS")).otherwise(F.col("status")).alias("status"), F.when(F.col("run"), told).alias("result"))
+    return after, rows

@@ -12,6 +12,7 @@ from corvella.plans import pipeline
 from corvella.plans.registry import query
 from corvella.plans.text_queries import _page_html
 from corvella.runtime import materialise, table
+from corvella.sources import files
 from corvella.streaming import ingest
 
 DEFAULTS = Settings()
@@ -271,6 +272,88 @@ def backoff_bound(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", predicates.backoff_bound(F.col("event_id") % 8).alias("most_seconds"))
 
 
+_TASK = "tasks.index"
+
+
+@query(f"""WITH c AS (SELECT DISTINCT chunk_id, chunk_project_id, chunk_text FROM chunks), s AS (SELECT chunk_project_id AS p, count(*) AS n, count(CASE WHEN regexp_replace(chunk_text, '[\\s\\x{{0B}}\\x{{1C}}-\\x{{1F}}\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', '', 'g') <> '' THEN 1 END) AS filled FROM c GROUP BY 1)
+SELECT p AS project_key, p % 3 <> 0 AS run, 'SUCCESS' AS status, CASE WHEN p % 3 <> 0 THEN '{{"signal":"indexed","inserted_rows":' || filled || '}}' END AS result FROM s""")
+def task_index_gated(spark: SparkSession, sf: str) -> DataFrame:
+    """Indexing by project as tasks, a third of which the ledger says are done."""
+    chunks = catalog.once(table(spark, sf, "chunks"), "chunk_id")
+    state = chunks.groupBy(F.col("chunk_project_id").alias("p")).agg(F.count("*").alias("n")).where("p % 3 = 0")
+    done = state.select(F.col("p").cast("long").alias("execution_id"), F.lit(_TASK).alias("task_name"), ledger.args_hash(F.lit(_TASK), {"project_id": F.col("p"), "chunks": F.col("n")}).alias("task_args_hash"), F.lit("SUCCESS").alias("status"), _now().alias("started_at"), _now().alias("created_at"))
+    return pipeline.index_tasks(chunks, done, _TASK, _now())[0]
+
+
+@query("SELECT count(*) AS deleted FROM (SELECT DISTINCT chunk_id FROM chunks WHERE chunk_project_id = 17)")
+def chunk_delete_count(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.deleted_counts(catalog.once(table(spark, sf, "chunks"), "chunk_id"), 17)
+
+
+@query("""SELECT event_id, least(CASE WHEN event_id % 3 = 0 THEN (event_id % 50)::DOUBLE ELSE (event_id % 10) / 10.0::DOUBLE * pow(2.0, event_id % 8) END, 30.0::DOUBLE) AS seconds,
+ (event_id % 700) IN (408, 409, 429) AND event_id % 5 < 3 OR (event_id % 700) BETWEEN 500 AND 599 AND event_id % 5 < 3 AS again FROM events""")
+def retry_pause(spark: SparkSession, sf: str) -> DataFrame:
+    """Pauses by what the service told or by doubling bounds, and whether a failed call is made again."""
+    n = F.col("event_id")
+    told = F.when(n % 3 == 0, (n % 50).cast("double")).when(n % 3 == 1, F.lit(-1.0))
+    seconds = predicates.pause(n % 8, told, (n % 10) / F.lit(10.0))
+    return table(spark, sf, "events").select("event_id", seconds.alias("seconds"), predicates.tries_again(n % 700, F.lit(None).cast("string"), n % 5).alias("again"))
+
+
+@query("SELECT request_id, coalesce(nullif(result_limit, 0), 1000) AS tokens, CASE WHEN score_threshold IS NULL OR score_threshold = 0 THEN 0.1::DOUBLE ELSE score_threshold END AS temperature FROM (SELECT DISTINCT request_id, result_limit, score_threshold FROM search_requests)")
+def generation_defaults(spark: SparkSession, sf: str) -> DataFrame:
+    """Settings of a generation that are null or zero take the defaults."""
+    r = catalog.once(table(spark, sf, "search_requests"), "request_id")
+    return r.select("request_id", predicates.given_or(F.col("result_limit"), DEFAULTS.answer_tokens).alias("tokens"), predicates.given_or(F.col("score_threshold"), DEFAULTS.temperature).alias("temperature"))
+
+
+# files
+
+
+def _as_files(rows: DataFrame, name: Column, body: Column) -> DataFrame:
+    return rows.select(name.alias("path"), F.encode(body, "UTF-8").alias("bytes"), predicates.loader(name).alias("loader"))
+
+
+@query("SELECT n_nationkey || '.txt' AS path, ' ' || n_name || chr(10) || 'é ' AS page_content, NULL::VARCHAR AS error FROM nation UNION ALL SELECT n_nationkey || '.pdf', NULL, 'no parser for pdf' FROM nation")
+def load_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Text files as they are; files of a kind without a parser leave a row that says so, those of unknown kinds none."""
+    n = table(spark, sf, "nation")
+    names = [F.concat(F.col("n_nationkey").cast("string"), F.lit(end)) for end in (".txt", ".pdf", ".exe")]
+    found = [_as_files(n, name, F.concat(F.lit(" "), "n_name", F.lit("\né "))) for name in names]
+    return files.documents(found[0].unionByName(found[1]).unionByName(found[2])).select("path", "page_content", "error")
+
+
+@query("SELECT n_nationkey || '.exe' AS path FROM nation")
+def load_unsupported(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation")
+    names = F.explode(F.array(*[F.concat(F.col("n_nationkey").cast("string"), F.lit(end)) for end in (".TXT", ".exe")]))
+    listed = n.select(names.alias("name")).withColumn("path", F.col("name")).withColumn("loader", predicates.loader(F.col("name")))
+    return files.unsupported(listed).select("path")
+
+
+@query("SELECT n_nationkey || '.md' AS path, n_name || chr(10) || 'one' || chr(10) || 'two ' || n_name || chr(10) || 'a' || chr(10) || 'b' || chr(10) || 'x = 1' AS page_content, 'markdown' AS format FROM nation")
+def load_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.col("n_name")
+    body = F.concat(F.lit("# "), name, F.lit("\n\n- **one**\n- two ["), name, F.lit("](http://x.example)\n\n| a | b |\n|---|---|\n\n```\nx = 1\n```\n"))
+    return files.documents(_as_files(table(spark, sf, "nation"), F.concat(F.col("n_nationkey").cast("string"), F.lit(".md")), body)).select("path", "page_content", "format")
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS n, count(*) OVER (PARTITION BY c_mktsegment) AS total FROM customer)
+SELECT c_mktsegment || '.csv' AS path, ((n - 1) // 50 * 50 + 1) || '-' || max(n) AS row_range, CAST(max(total) AS INTEGER) AS total_rows,
+ string_agg('Row ' || n || ':' || chr(10) || 'key: ' || c_custkey || ' | name: ' || CASE WHEN c_custkey % 5 = 0 THEN 'N/A' ELSE c_name END, chr(10) || chr(10) ORDER BY n) AS page_content
+FROM r GROUP BY c_mktsegment, (n - 1) // 50""")
+def load_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers by segment as CSV files with padded names, missing values, lines with a field too many and blank ones."""
+    c = table(spark, sf, "customer")
+    key = F.col("c_custkey")
+    name = F.when(key % 5 == 0, F.lit("")).otherwise(F.col("c_name"))
+    line = F.concat(key.cast("string"), F.lit(","), name, F.when(key % 7 == 0, F.lit("\n0,a,b")).when(key % 11 == 0, F.lit("\n,")).otherwise(F.lit("")))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("line")))), lambda x: x["line"])
+    sheets = c.groupBy("c_mktsegment").agg(F.concat(F.lit("key, name \n"), F.array_join(lines, "\n")).alias("body"))
+    found = files.documents(_as_files(sheets, F.concat("c_mktsegment", F.lit(".csv")), F.col("body")))
+    return found.select("path", "row_range", "total_rows", F.regexp_replace("page_content", r"key: (\d+)\.0 ", "key: $1 ").alias("page_content"))
+
+
 # metrics
 
 _SAMPLES = "SELECT CASE event_id % 2 WHEN 0 THEN 'GET' ELSE 'POST' END AS method, '/' || event_type AS endpoint, 200 + event_id % 3 * 100 AS status, round(value / 50, 2) AS duration_s FROM events"

@@ -131,8 +131,68 @@ def dim_match(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").select("n_name", "n_nationkey", collection_name(dim, F.col("n_nationkey")).alias("collection"), (dim == 64).alias("matches"))
 
 
-@query("SELECT project_key, count(*) AS rows FROM (SELECT DISTINCT id, project_key FROM collection_rows) WHERE project_key <> 17 GROUP BY project_key")
-def collection_create_drop(spark: SparkSession, sf: str) -> DataFrame:
-    """A collection table by project, written, and read after the drop of one project's partition."""
-    rows = table(spark, sf, "collection_rows").select("id", "project_key").distinct()
-    return materialise(rows, "collections").where("project_key <> 17").groupBy("project_key").agg(F.count("*").alias("rows"))
+_ROWS = "SELECT DISTINCT id, 'collection_' || dim || '_' || project_key AS collection, dim, project_key, vector, chunk_id FROM collection_rows"
+_REGISTRY = f"SELECT DISTINCT collection, dim, project_key % 4 = 1 AS is_indexed FROM ({_ROWS}) WHERE project_key % 3 <> 0"
+
+
+def _named_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = catalog.once(table(spark, sf, "collection_rows"), "id")
+    return rows.select("id", collection_name(F.col("dim"), F.col("project_key")).alias("collection"), "dim", "project_key", "vector", "chunk_id")
+
+
+def _registry(rows: DataFrame) -> DataFrame:
+    """Two thirds of the projects have a collection, some of these an index."""
+    return rows.where("project_key % 3 <> 0").select("collection", "dim", (F.col("project_key") % 4 == 1).alias("is_indexed")).distinct()
+
+
+@query(f"WITH r AS ({_REGISTRY}) SELECT DISTINCT collection, dim, collection NOT IN (SELECT collection FROM r) AS created, CASE WHEN collection IN (SELECT collection FROM r WHERE is_indexed) THEN true ELSE false END AS is_indexed FROM ({_ROWS})")
+def collection_create(spark: SparkSession, sf: str) -> DataFrame:
+    """Collections of all projects asked for, and the registry afterwards: what exists is left alone."""
+    rows = _named_rows(spark, sf)
+    made = vectors.created(_registry(rows), rows.select("collection", "dim"))
+    return vectors.registered(_registry(rows), made).join(made.select("collection", "created"), "collection").select("collection", "dim", "created", "is_indexed")
+
+
+@query(f"WITH r AS ({_REGISTRY}) SELECT collection, dim, bool_or(t) AS created, bool_or(i) AS is_indexed FROM (SELECT collection, dim, false AS t, is_indexed AS i FROM r WHERE collection NOT LIKE '%_1_' UNION ALL SELECT DISTINCT collection, dim, true, false FROM ({_ROWS}) WHERE collection LIKE '%_1_') GROUP BY collection, dim")
+def collection_reset(spark: SparkSession, sf: str) -> DataFrame:
+    """Some collections are asked for anew: they lose their index, whether they existed or not."""
+    rows = _named_rows(spark, sf)
+    made = vectors.created(_registry(rows), rows.where("collection LIKE '%_1_'").select("collection", "dim"), reset=True)
+    after = vectors.registered(_registry(rows), made).join(made.select("collection", "created"), "collection", "left")
+    return after.select("collection", "dim", F.coalesce("created", F.lit(False)).alias("created"), "is_indexed")
+
+
+@query(f"SELECT collection, count(*) AS rows FROM ({_ROWS}) WHERE collection NOT LIKE '%7' GROUP BY collection")
+def collection_drop(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows by collection after the drop of those whose name ends in 7, and of one that does not exist."""
+    rows = _named_rows(spark, sf)
+    gone = rows.where("collection LIKE '%7'").select("collection").distinct().unionByName(spark.createDataFrame([("collection_64_none",)], "collection string"))
+    return vectors.dropped(rows.select("id", "collection"), gone).groupBy("collection").agg(F.count("*").alias("rows"))
+
+
+@query(f"WITH r AS ({_REGISTRY}) SELECT id, chunk_id IS NOT NULL AND len(vector) = r.dim AND r.dim IS NOT NULL AND vector IS NOT NULL AS admitted FROM ({_ROWS}) x LEFT JOIN r USING (collection)")
+def collection_insert(spark: SparkSession, sf: str) -> DataFrame:
+    """Which rows their collection takes: not those of collections that do not exist."""
+    rows = _named_rows(spark, sf)
+    return vectors.admitted(_registry(rows), rows.select("id", "collection", "vector", "chunk_id")).select("id", "admitted")
+
+
+@query(f"WITH r AS ({_REGISTRY}), n AS (SELECT collection, count(*) AS n FROM ({_ROWS}) GROUP BY collection) SELECT collection, dim, n >= 20 AND NOT is_indexed AS built, n >= 20 OR is_indexed AS is_indexed FROM r JOIN n USING (collection)")
+def collection_index(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _named_rows(spark, sf)
+    return vectors.indexed(_registry(rows), rows, threshold=20)
+
+
+@query(f"WITH r AS ({_REGISTRY}), n AS (SELECT collection, count(*) AS n FROM ({_ROWS}) GROUP BY collection) SELECT collection, dim, n >= 20 AS built, n >= 20 AS is_indexed FROM r JOIN n USING (collection)")
+def collection_reindex(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _named_rows(spark, sf)
+    return vectors.indexed(_registry(rows), rows, threshold=20, rebuild=True)
+
+
+@query("SELECT project_key, len(vector) = 64 AND CASE WHEN project_key % 2 = 0 THEN 2 ELSE 1 END = 1 AS aligned, count(*) AS batches FROM (SELECT DISTINCT id, project_key, vector FROM collection_rows WHERE vector IS NOT NULL) GROUP BY ALL")
+def batch_aligned(spark: SparkSession, sf: str) -> DataFrame:
+    """Parallel lists of texts, numbers and ids: some vectors too short, some ids too many."""
+    rows = catalog.once(table(spark, sf, "collection_rows"), "id").where("vector IS NOT NULL")
+    ids = F.when(F.col("project_key") % 2 == 0, F.array_repeat(F.col("id"), 128)).otherwise(F.array_repeat(F.col("id"), 64))
+    fits = vectors.aligned(F.array_repeat(F.lit("t"), 64), F.col("vector"), ids)
+    return rows.groupBy("project_key", fits.alias("aligned")).agg(F.count("*").alias("batches"))

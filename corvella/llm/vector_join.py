@@ -27,7 +27,9 @@ from corvella.runtime import materialise
 
 BLOCK = 2048
 VISITS = 8
-#: Cells beyond this number are found through a sample of their pivots; bounds what a task holds of one group.
+#: With so many visits every vector meets every block of its group, and the result is exact.
+EVERY_CELL = 1 << 30
+#: The most pivots of one group; bounds what a task holds of it.  In still larger groups cells grow, and are cut into more blocks.
 PIVOTS_HELD = 4096
 #: Rows of a group that one task assigns to cells at a time.
 ASSIGNED = 16_384
@@ -86,7 +88,7 @@ def neighbours(df: DataFrame, key: str, group: str, vector: str, width: int, k:
 
     Only vectors of ``width`` finite numbers that are not all zero take part; other rows, null keys and null groups
     give no rows.  Equal similarities: the smaller key first.  A key given in several equal rows counts once.  Groups of up to
-    ``block`` different vectors are joined exactly; larger ones through cells, with a recall that the tests measure.
+    ``block`` different vectors are joined exactly; larger ones through cells, with a recall that the tests measure, or exactly with EVERY_CELL visits.
     """
     key_type, group_type = df.schema[key].dataType.simpleString(), df.schema[group].dataType.simpleString()
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{group}`").alias("grp"), F.col(f"`{vector}`").alias("v")).where(
@@ -183,8 +185,7 @@ def _large_neighbours(rows: DataFrame, key_type: str, group_type: str, width: in
 
 
 def _merged(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """What the tiles found for a row, merged by a heap of its best k; rows come in order, and one's offers are at most
-    a few times k for each block that it met."""
+    """What the tiles found for a row, merged by a heap of its best k; rows come in order.  However many offers a row has, 8 k at most are held."""
     held: list[tuple[float, object]] = []
     row: tuple[object, object] | None = None
     schema = None
@@ -207,6 +208,8 @@ def _merged(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
                 close()
                 row = (grp, cls)
             held.append((-cos, other))
+            if len(held) >= 8 * k:
+                held[:] = heapq.nsmallest(k, held)
         yield sent()
     close()
     if schema is not None:

@@ -150,6 +150,23 @@ def test_neighbours_exact_and_by_cells(spark):
     assert sum(len(cells.get(i, set()) & w) for i, w in want.items()) >= 0.9 * total
 
 
+def test_neighbours_are_exact_with_every_cell(spark):
+    rows = vectors(np.random.default_rng(7), 600, 2)
+    df = spark.createDataFrame(rows, "id int, grp int, vec array<float>")
+    assert neighbour_sets(df, k=5, threshold=0.5, block=16, visits=vj.EVERY_CELL) == {i: w for i, w in brute_neighbours(rows, 5, 0.5).items() if w}
+
+
+def test_merging_holds_few_offers():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    cos, other = np.round(rng.random(5000), 2), np.arange(5000)
+    batch = lambda s: pa.RecordBatch.from_arrays([pa.array([1] * len(s)), pa.array([7] * len(s)), pa.array(other[s]), pa.array(cos[s])], ["grp", "cls", "other", "similarity"])
+    out = pa.Table.from_batches(list(vj._merged(iter([batch(np.arange(i, i + 500)) for i in range(0, 5000, 500)]), 5)))
+    want = sorted(zip(-cos, other))[:5]
+    assert list(zip(out["similarity"].to_pylist(), out["other"].to_pylist())) == [(-c, int(o)) for c, o in want]
+
+
 def test_neighbours_edges(spark):
     rows = [(1, 1, [1.0] * 16, 7), (2, 1, None, 7), (3, 1, [0.0] * 16, 7), (4, 1, [1.0] * 15, 7), (5, None, [1.0] * 16, 7), (None, 1, [1.0] * 16, 7), (6, 1, [float("nan")] * 16, 7), (7, 1, [2.0] * 16, 7), (8, 2, [1.0] * 16, 7)]
     df = spark.createDataFrame(rows, "id int, grp int, vec array<float>, key int")

@@ -112,3 +112,8 @@ def given_or(value: Column, default: Column | float) -> Column:
     """A setting, or the default where it is null, zero or empty."""
     default = default if isinstance(default, Column) else F.lit(default)
     return F.when(value.isNull() | (value == F.lit(0)), default).otherwise(value)
+
+
+def within_bytes(text: Column, most: int) -> Column:
+    """Whether a text's UTF-8 form has at most so many bytes; null for a null one."""
+    return F.octet_length(text) <= most

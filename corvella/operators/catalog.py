@@ -53,6 +53,11 @@ def page_of(df: DataFrame, key: str, page_no: int, page_size: int) -> DataFrame:
     return df.orderBy(key).offset(max(0, page_no - 1) * page_size).limit(page_size)
 
 
+def page_after(df: DataFrame, key: str, last: object | None, page_size: int) -> DataFrame:
+    """The page of rows that follows the key ``last`` (None: the first page).  Unlike an offset it reads no row before; the filter reaches the scan."""
+    return (df if last is None else df.where(F.col(key) > F.lit(last))).orderBy(key).limit(page_size)
+
+
 def total_pages(df: DataFrame, page_size: int) -> DataFrame:
     return df.agg(F.count("*").alias("rows")).select("rows", F.ceil(F.col("rows") / page_size).cast("long").alias("total_pages"))
 
@@ -100,7 +105,7 @@ def page_assets(pages: DataFrame, project: Column, most: int) -> DataFrame:
     size = F.octet_length("text")
     key = stable_key(project.cast("string"), F.col("url"))
     record = F.to_json(F.struct(F.col("url").alias("source_url"), "title"))
-    return pages.where((size <= most) & (size > 0)).select(project.alias("asset_project_id"), F.concat_ws("_", key, url_file_name(F.col("url"))).alias("asset_name"), F.lit("url").alias("asset_type"), size.alias("asset_size"), record.alias("asset_config"))
+    return pages.where(predicates.within_bytes(F.col("text"), most) & (size > 0)).select(project.alias("asset_project_id"), F.concat_ws("_", key, url_file_name(F.col("url"))).alias("asset_name"), F.lit("url").alias("asset_type"), size.alias("asset_size"), record.alias("asset_config"))
 
 
 def without_project(chunks: DataFrame, project: int) -> DataFrame:

@@ -38,6 +38,12 @@ def numbered_rows(df: DataFrame, sheet: list[str], order: list[str], columns: li
     return numbered(some, sheet, order)
 
 
+def sheet_totals(df: DataFrame, sheet: list[str], columns: list[str], rows: int = DEFAULTS.rows_per_document) -> DataFrame:
+    """The sheet columns, total_rows (rows with at least one value) and the number of documents they make."""
+    some = df.where(F.coalesce(*[F.col(f"`{c}`").cast("string") for c in columns]).isNotNull())
+    return some.groupBy(*sheet).agg(F.count("*").alias("total_rows")).withColumn("documents", F.ceil(F.col("total_rows") / rows).cast("long"))
+
+
 def row_documents(df: DataFrame, sheet: list[str], order: list[str], columns: list[str], rows: int = DEFAULTS.rows_per_document) -> DataFrame:
     """The sheet columns, bucket (from 0), row_range, total_rows and rows_text of documents of ``rows`` rows each; no sheet columns: one sheet."""
     texts = numbered_rows(df, sheet, order, columns).withColumn("text", row_text(df, F.col("row_no"), columns)).withColumn("bucket", F.floor((F.col("row_no") - 1) / rows).cast("int"))

@@ -121,7 +121,7 @@ def page_ingest_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, strlen(text) <= 5000 AS accepted FROM documents WHERE text IS NOT NULL")
 def size_guard(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", (F.octet_length("text") <= 5000).alias("accepted"))
+    return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", predicates.within_bytes(F.col("text"), 5000).alias("accepted"))
 
 
 @query("SELECT chunk_project_id, count(*) AS chunks FROM (SELECT DISTINCT chunk_id, chunk_project_id FROM chunks) GROUP BY chunk_project_id")
@@ -135,6 +135,12 @@ def chunk_page(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.page_of(own, "chunk_id", 2, 50)
 
 
+@query("SELECT chunk_id, chunk_order FROM (SELECT DISTINCT chunk_id, chunk_order FROM chunks WHERE chunk_project_id = 17 AND chunk_id > 200) ORDER BY chunk_id LIMIT 50")
+def chunk_page_after(spark: SparkSession, sf: str) -> DataFrame:
+    own = table(spark, sf, "chunks").where("chunk_project_id = 17").select("chunk_id", "chunk_order").distinct()
+    return catalog.page_after(own, "chunk_id", 200, 50)
+
+
 @query("SELECT chunk_id, chunk_asset_id FROM (SELECT DISTINCT chunk_id, chunk_asset_id FROM chunks) WHERE chunk_id = 100")
 def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.lookup(table(spark, sf, "chunks").select("chunk_id", "chunk_asset_id").distinct(), "chunk_id", 100)

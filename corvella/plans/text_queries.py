@@ -270,7 +270,7 @@ def struct_dropna_renumber(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT o_orderpriority, count(*) AS total_rows, CAST((count(*) + 49) // 50 AS BIGINT) AS documents FROM orders GROUP BY o_orderpriority")
 def sheet_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("total_rows")).withColumn("documents", F.ceil(F.col("total_rows") / 50).cast("long"))
+    return structured.sheet_totals(table(spark, sf, "orders"), ["o_orderpriority"], _ORDER_COLUMNS)
 
 
 # tables
@@ -575,5 +575,4 @@ def block_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, strlen(text) AS n_bytes, strlen(text) <= 1000 AS fits FROM documents WHERE text IS NOT NULL")
 def payload_guard(spark: SparkSession, sf: str) -> DataFrame:
-    size = F.octet_length("text")
-    return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", size.cast("long").alias("n_bytes"), (size <= 1000).alias("fits"))
+    return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), predicates.within_bytes(F.col("text"), 1000).alias("fits"))

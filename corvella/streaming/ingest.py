@@ -40,5 +40,22 @@ def event_counts(events: DataFrame, every: str = "1 hour", late: str = "2 hours"
 
 
 def fresh_requests(requests: DataFrame, time: str = "created_at", late: str = "1 day") -> DataFrame:
-    """Requests of a stream without those delivered again within the watermark."""
+    """Requests without those delivered again; in a stream, within the watermark, which drops what is later.  ``append_new`` keeps late ones."""
     return requests.withWatermark(time, late).dropDuplicatesWithinWatermark(["request_id"]) if requests.isStreaming else requests.dropDuplicates(["request_id"])
+
+
+def append_new(stream: DataFrame, target: str, checkpoint: str, key: str) -> StreamingQuery:
+    """Rows of a stream whose key is not yet under ``target``, each key once, however late they come: no watermark drops any.
+
+    A batch is compared with the keys written by the others, and replaces its own folder if it is repeated.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        fresh = batch.dropDuplicates([key])
+        where = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(target)
+        if where.getFileSystem(batch.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            before = batch.sparkSession.read.parquet(target).where(F.col("batch") != number).select(key)
+            fresh = fresh.join(before, key, "left_anti")
+        fresh.select(*batch.columns).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -100,6 +100,15 @@ def test_stream_of_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).where("error IS NULL").count() == 6
 
 
+def test_stream_keeps_late_rows(spark, tmp_path):
+    schema = "request_id int, created_at string"
+    for n, rows in enumerate(([(1, "2024-03-01"), (1, "2024-03-01"), (2, "2024-03-02")], [(3, "2024-01-01"), (2, "2024-03-02")])):  # the third comes two months late
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in" / f"part{n}"))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        ingest.append_new(stream, str(tmp_path / "out"), str(tmp_path / "state"), "request_id").awaitTermination()
+    assert sorted(r.request_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
+
+
 def test_stream_of_events(spark, tmp_path):
     rows = [(1, "2024-01-01 00:10:00", "a", 1.0), (1, "2024-01-01 00:10:00", "a", 1.0), (2, "2024-01-01 00:20:00", "a", 2.0)]
     batch = spark.createDataFrame(rows, "event_id int, ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -80,15 +80,20 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, in
     return slots, containers
 
 
+MOST_KINDS, MOST_LENGTHS = 1_000, 10_000_000
+
+
 def pack(items: DataFrame, capacities: DataFrame) -> DataFrame:
     """Containers for every item: bin_kind, key, piece_no, start_at, size, container_no.
 
-    ``items`` has key and tokens, each key once; ``capacities`` has bin_kind and capacity (a few rows, held by the driver).  An item over the capacity is cut
+    ``items`` has key and tokens, each key once; ``capacities`` has bin_kind and capacity (at most MOST_KINDS rows, adding up to MOST_LENGTHS: the driver plans on a histogram of so many lengths).  An item over the capacity is cut
     into full pieces, each a container of its own, and a rest that is packed like any other; no other item is cut.  Items of no tokens
     need no room and give no rows; null or non-positive capacities give none either.
     """
     spark = items.sparkSession
-    kinds = [(r.bin_kind, r.capacity) for r in capacities.where("capacity > 0").select("bin_kind", "capacity").distinct().collect()]
+    kinds = [(r.bin_kind, r.capacity) for r in capacities.where("capacity > 0").select("bin_kind", "capacity").distinct().limit(MOST_KINDS + 1).collect()]
+    if len(kinds) > MOST_KINDS or sum(c for _, c in kinds) > MOST_LENGTHS:
+        raise ValueError(f"at most {MOST_KINDS} kinds of containers, whose capacities add up to {MOST_LENGTHS} at most")
     kind_type = capacities.schema["bin_kind"].dataType.simpleString()
     if not kinds:
         return spark.createDataFrame([], f"bin_kind {kind_type}, key {items.schema['key'].dataType.simpleString()}, piece_no int, start_at long, size int, container_no long")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvella.llm import language, leakage, main_content, near_duplicates, packing, scan_repair, spam_pages, splitting, vector_join
@@ -83,6 +83,18 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(_oversized(spark, sf_dir), "chunk_text", "chunk_limit", "overlap_size", ["chunk_id"])
 
 
+def p5_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the pieces of each oversized chunk are within its limit, overlap as asked, and give the whole text again."""
+    limit = F.col("chunk_limit")
+    lap = F.greatest(F.coalesce("overlap_size", F.lit(splitting.DEFAULT_OVERLAP)), F.lit(0))
+    whole = _oversized(spark, sf_dir).select("chunk_id", "chunk_text", "chunk_limit", F.when(lap >= limit, F.floor(limit / 2)).otherwise(lap).alias("lap"))
+    pieces = p5_pieces(spark, sf_dir).withColumn("before", F.lag("end_at").over(Window.partitionBy("chunk_id").orderBy("piece_no"))).join(whole, "chunk_id")
+    begins = F.coalesce(F.col("before") - F.col("lap"), F.lit(0)) == F.col("start_at")
+    own = F.col("piece") == F.substring("chunk_text", F.col("start_at") + 1, F.col("end_at") - F.col("start_at"))
+    ends = F.max("end_at") == F.max(F.length("chunk_text"))
+    return pieces.groupBy("chunk_id").agg((F.every(begins & own & (F.length("piece") <= limit)) & ends & (F.count("*") > 1)).alias("sound"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_pieces(spark, sf_dir).where("piece_no = 2").select("chunk_id")
 
@@ -144,6 +156,17 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_container.join(windows, "window_id").withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
 
 
+def p7_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By window size: documents packed, containers over the capacity, and documents cut though they fit."""
+    windows = table(spark, sf_dir, "context_windows").select("window_id", "capacity_tokens")
+    packed = p7_containers(spark, sf_dir)
+    loads = packed.groupBy("window_id", "container_no").agg(F.sum("tokens").alias("load")).join(windows, "window_id")
+    whole = packed.groupBy("window_id", "doc_id").agg(F.sum("tokens").alias("size"), F.count("*").alias("pieces")).join(windows, "window_id")
+    over = loads.groupBy("window_id").agg(F.count(F.when(F.col("load") > F.col("capacity_tokens"), 1)).alias("overfull"))
+    cut = whole.groupBy("window_id").agg(F.count("*").alias("documents"), F.count(F.when((F.col("pieces") > 1) & (F.col("size") <= F.col("capacity_tokens")), 1)).alias("cut_needlessly"))
+    return over.join(cut, "window_id").select("window_id", "documents", "overfull", "cut_needlessly")
+
+
 def _leaks(spark: SparkSession, sf_dir: str, **options: int) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text", **options)
 
@@ -178,10 +201,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_neighbours": p4_neighbours,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p5_sound": p5_sound,
     "p6_found": p6_found,
     "p6_pages": p6_pages,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
+    "p7_sound": p7_sound,
     "p8_found": p8_found,
     "p8_edited": p8_edited,
     "p9_found": p9_found,
@@ -200,15 +225,34 @@ near AS (
   FROM scored WHERE similarity >= 0.85)
 """
 
-SQL: dict[str, str] = {
-    "p4_found": _NEIGHBOURS + "SELECT DISTINCT least(id, neighbour_id) AS id_a, greatest(id, neighbour_id) AS id_b FROM near WHERE place <= 5",
-    "p4_neighbours": _NEIGHBOURS + "SELECT id, neighbour_id, round(similarity, 6) AS similarity FROM near WHERE place <= 5",
-    "p5_found": """
+_OVERSIZED = """
 WITH newest AS (
   SELECT file_id, arg_max(coalesce(chunk_size, 0), (created_at, request_id)) AS chunk_size
   FROM process_requests WHERE file_id IS NOT NULL GROUP BY file_id)
-SELECT DISTINCT chunk_id FROM chunks LEFT JOIN newest ON file_id = chunk_asset_id
-WHERE length(chunk_text) > CASE WHEN chunk_size > 0 THEN chunk_size ELSE 800 END""",
+SELECT DISTINCT chunk_id{} FROM chunks LEFT JOIN newest ON file_id = chunk_asset_id
+WHERE length(chunk_text) > CASE WHEN chunk_size > 0 THEN chunk_size ELSE 800 END"""
+
+SQL: dict[str, str] = {
+    "p4_found": _NEIGHBOURS + "SELECT DISTINCT least(id, neighbour_id) AS id_a, greatest(id, neighbour_id) AS id_b FROM near WHERE place <= 5",
+    "p4_neighbours": _NEIGHBOURS + "SELECT id, neighbour_id, round(similarity, 6) AS similarity FROM near WHERE place <= 5",
+    "p5_found": _OVERSIZED.format(""),
+    "p5_sound": _OVERSIZED.format(", true AS sound"),
+    "p7_sound": "SELECT window_id, (SELECT count(DISTINCT doc_id) FROM documents WHERE text <> '') AS documents, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS cut_needlessly FROM context_windows",
+    "p2_groups": """
+WITH texts AS (
+  SELECT DISTINCT chunk_id, regexp_extract_all(lower(chunk_text), '[\\p{L}\\p{N}]+') AS w
+  FROM chunks WHERE chunk_asset_id IN (SELECT asset_id FROM assets WHERE asset_type = 'file')),
+told AS (SELECT chunk_id, w, array_to_string(w, ' ') AS s FROM texts WHERE len(w) >= 5),
+classes AS (SELECT s, min(chunk_id) AS class_key, count(*) AS copies, any_value(w) AS w FROM told GROUP BY s),
+shingles AS (
+  SELECT DISTINCT class_key, hash(w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]) AS g
+  FROM (SELECT class_key, w, unnest(range(1, len(w) - 3)) AS i FROM classes)),
+sizes AS (SELECT class_key, count(*) AS n FROM shingles GROUP BY class_key),
+common AS (SELECT a.class_key AS x, b.class_key AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.class_key <> b.class_key GROUP BY ALL),
+linked AS (
+  SELECT x, count(*) AS links FROM common JOIN sizes p ON p.class_key = x JOIN sizes q ON q.class_key = y
+  WHERE c / (p.n + q.n - c)::DOUBLE >= 0.8 GROUP BY x)
+SELECT chunk_id, class_key, copies, coalesce(links, 0) AS links FROM told JOIN classes USING (s) LEFT JOIN linked ON x = class_key""",
     "p8_found": """
 WITH docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 items AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),

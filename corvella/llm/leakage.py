@@ -150,7 +150,7 @@ def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _windows(batches: Iterator[pd.DataFrame], window: int, edits: int, reps: int, sent: object = None) -> Iterator[pd.DataFrame]:
-    """key, words, hashes: windows of the texts, each text's equal ones once.  ``sent`` holds the bitmaps of hashes and triples that let a window's hashes pass."""
+    """key, words, sign, hashes: windows of the texts, each text's equal ones once.  ``sent`` holds the bitmaps of hashes and triples that let a window's hashes pass."""
     sampled = SAMPLED if edits else SAMPLED_EQUAL
     known, grams = sent.value if sent is not None else (None, None)
     coder = WordCodes()
@@ -165,18 +165,20 @@ def _windows(batches: Iterator[pd.DataFrame], window: int, edits: int, reps: int
         if grams is not None and len(starts):
             met = np.concatenate([[0], np.cumsum(grams.has(shingle_codes(codes, np.array([0, len(codes)]), GRAM)[0]))])
             alike = met[starts + window - GRAM + 1] - met[starts] >= window - GRAM + 1 - GRAM * edits
-        rows: dict[tuple[int, str], list[int]] = {}
+        bits = np.uint64(1) << (codes & np.uint64(63))
+        rows: dict[tuple[int, str], tuple[int, list[int]]] = {}
         for r in range(reps):
             hashes = window_keys(codes, starts, window, r, sampled)
             hit = np.arange(len(starts)) if known is None else np.flatnonzero(known.has(hashes) & alike)
-            for s, h in zip(starts[hit].tolist(), hashes[hit].view(np.int64).tolist()):
-                own = rows.setdefault((int(owner[s]), " ".join(words[s : s + window])), [])
+            signs = np.bitwise_or.reduce(bits[starts[hit][:, None] + np.arange(window)], axis=1).view(np.int64) if len(hit) else hit
+            for s, h, sign in zip(starts[hit].tolist(), hashes[hit].view(np.int64).tolist(), signs.tolist()):
+                own = rows.setdefault((int(owner[s]), " ".join(words[s : s + window])), (sign, []))[1]
                 if h not in own:
                     own.append(h)
         found = list(rows.items())
         for at in range(0, len(found), _ROWS):
             part = found[at : at + _ROWS]
-            columns = {"key": [keys[d] for (d, _), _ in part], "words": [w for (_, w), _ in part], "hashes": [h for _, h in part]}
+            columns = {"key": [keys[d] for (d, _), _ in part], "words": [w for (_, w), _ in part], "sign": [s for _, (s, _) in part], "hashes": [h for _, (_, h) in part]}
             yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in columns.items()})
 
     for pdf in batches:
@@ -242,23 +244,26 @@ def leaked_items(docs: DataFrame, key: str, text: str, items: DataFrame, item: s
         return df.select(F.col(f"`{name}`").alias("key"), F.col(f"`{body}`").alias("text")).where(F.length("text") >= 2 * window - 1)
 
     def windows(source: DataFrame, **sent: object) -> DataFrame:
-        return source.mapInPandas(partial(_windows, window=window, edits=edits, reps=reps, **sent), f"key {source.schema['key'].dataType.simpleString()}, words string, hashes array<bigint>")
+        return source.mapInPandas(partial(_windows, window=window, edits=edits, reps=reps, **sent), f"key {source.schema['key'].dataType.simpleString()}, words string, sign bigint, hashes array<bigint>")
 
     asked_for = texts(items, item, item_text)
     theirs = materialise(windows(asked_for).distinct(), "itemwindows")
-    held = theirs.select(F.xxhash64("words").alias("iwid"), F.col("words").alias("theirs"), F.col("key").alias("item"), F.explode("hashes").alias("hash"))
+    held = theirs.select(F.xxhash64("words").alias("iwid"), F.col("words").alias("theirs"), F.col("sign").alias("isign"), F.col("key").alias("item"), F.explode("hashes").alias("hash"))
     grams = bitmap(materialise(asked_for.mapInPandas(_grams, "hash bigint").distinct(), "itemgrams")) if window > GRAM else None
     sent = docs.sparkSession.sparkContext.broadcast((bitmap(held.select("hash").distinct()), grams))
     mine = materialise(windows(texts(docs, key, text), sent=sent), "hits")
-    asked = mine.select(F.xxhash64("words").alias("wid"), "words", F.explode("hashes").alias("hash"))
+    asked = mine.select(F.xxhash64("words").alias("wid"), "words", "sign", F.explode("hashes").alias("hash"))
     # equal windows meet the items once, however many documents hold them
     equal = _dealt(asked.select("hash", "words").distinct(), held.select("hash", "theirs", "item"), "hash").where("words = theirs").select("words", "item").distinct()
     found = equal.withColumn("edits", F.lit(0))
     if edits:
-        # hashes meet without their words; a window that an item has as it is needs no other of that item
+        # hashes meet without their words, but for a sign that has a bit for each: an edit takes out one at most and puts in one at most.
+        # A window that an item has as it is needs no other of that item
         equal = materialise(equal, "equal")
         done = equal.select(F.xxhash64("words").alias("wid"), "item")
-        pairs = _dealt(asked.select("hash", "wid").distinct(), held.select("hash", "iwid", "item"), "hash").where("wid <> iwid").select("wid", "iwid", "item").distinct()
+        out, more = (F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(F.col(b)))) for a, b in (("sign", "isign"), ("isign", "sign")))
+        pairs = _dealt(asked.select("hash", "wid", "sign").distinct(), held.select("hash", "iwid", "isign", "item"), "hash").where((F.col("wid") != F.col("iwid")) & (out <= edits) & (more <= edits))
+        pairs = pairs.select("wid", "iwid", "item").distinct()
         pairs = pairs.join(done, ["wid", "item"], "left_anti")
         spoken = pairs.join(asked.select("wid", "words").distinct(), "wid").join(held.select("iwid", "theirs").distinct(), "iwid")
         kind = items.schema[item].dataType.simpleString()

@@ -85,3 +85,14 @@ def test_task_decisions(spark):
     rows = [("STARTED", 660, False), ("STARTED", 661, True), ("SUCCESS", 5, False), ("FAILURE", 5, True), (None, None, True), ("PENDING", None, False)]
     df = spark.createDataFrame(rows, "status string, a int, want boolean").withColumn("started_at", F.expr(base))
     assert df.where(~(ledger.should_run(F.col("status"), F.col("started_at"), now) == F.col("want"))).count() == 0
+
+
+def test_written_chunks_are_counted(spark, tmp_path):
+    from corvella.operators import catalog
+
+    df = spark.createDataFrame([(1, 5, "a"), (2, 5, "b"), (3, 6, "c")], "chunk_id int, chunk_project_id int, chunk_text string")
+    target = str(tmp_path / "chunks")
+    assert catalog.write_chunks(df, target) == 3
+    assert catalog.write_chunks(df.where("chunk_id = 2"), target) == 1  # its project's files are replaced, the other's stay
+    assert {r.chunk_id for r in spark.read.parquet(target).collect()} == {2, 3}
+    assert catalog.deleted_counts(df, 5).first().deleted == 2

@@ -125,9 +125,9 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _page_marks(spark: SparkSession, sf_dir: str, counts: dict[str, int]) -> DataFrame:
     # few short rows a page come back; only they are joined with the assets, the texts stay where they lie
-    marks = scan_repair.scan_marks(_pages(spark, sf_dir), "chunk_id", "chunk_asset_id", "chunk_text", counts)
-    files = assets_of(spark, sf_dir, "file").withColumnRenamed("chunk_asset_id", "owner")
-    return materialise(marks.join(files, "owner", "left_semi"), "pagemarks")
+    files = assets_of(spark, sf_dir, "file")
+    marks = scan_repair.scan_marks(marked(_pages(spark, sf_dir), "chunk_asset_id", files), "chunk_id", "chunk_asset_id", "chunk_text", counts)
+    return materialise(marks.join(files.withColumnRenamed("chunk_asset_id", "owner"), "owner", "left_semi"), "pagemarks")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
